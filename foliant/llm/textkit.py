@@ -152,3 +152,23 @@ def words_of(text: str | None) -> list[bytes]:
 
     found = re.findall(rb"[\xe3-\xf7][\x80-\xbf]+|(?:[0-9a-z]|[\xc2-\xe2][\x80-\xbf]+)+", (text or "").lower().encode())
     return found
+
+
+class Lookup:
+    """The place of 64-bit hashes in a sorted array of distinct ones; -1 where there is none."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.unique(values.astype(np.uint64))
+        bits = max(16, int(np.ceil(np.log2(max(1, len(self.values)) * 64))))
+        self.mask = np.uint64((1 << min(bits, 26)) - 1)
+        self.seen = np.zeros(int(self.mask) + 1, bool)
+        self.seen[self.values & self.mask] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of h are there, and their places."""
+        at = np.flatnonzero(self.seen[h & self.mask])
+        if not len(at) or not len(self.values):
+            return at[:0], at[:0]
+        place = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
+        ok = self.values[place] == h[at]
+        return at[ok], place[ok]

@@ -122,6 +122,14 @@ class Words:
             self.hash = np.zeros(0, np.uint64)
         self.off = np.searchsorted(self.start, off)
 
+    def prefix(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``size`` bytes of the words that are longer, and the places of these words."""
+        at = np.flatnonzero(self.size > size)
+        h = np.full(len(at), size * BASE % 2**64, np.uint64)
+        for j in range(size):
+            h = (h ^ BYTE[self.data[self.start[at] + j]]) * MULT[j]
+        return mix(h), at
+
 
 def shingles(hashes: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words, and their offsets; a value of 1 to k-1 words gives one, of all its words."""

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import Stage
+from .store import Stage, only
 from .textkit import Words, list_array, mix, pieces, ragged, reduce_sum, shingles, signed
 
 SHINGLE = 3
@@ -191,14 +191,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, m: int = 128, rows:
     shared = reps.select("d", F.explode("bands").alias("b")).distinct().withColumn("n", F.count("*").over(_by("b"))).where("n > 1").drop("n")
     rows_ = shared.join(reps.select("d", "k"), "d").repartition("b").sortWithinPartitions("b", "d")
     edges = Stage(rows_.mapInArrow(_lead(m, threshold, margin), "u long, v long").distinct(), "edges")
-    ids = edges.df.select(F.col("u").alias("d")).union(edges.df.select("v")).distinct()
-    sets = Stage(d.join(ids, "d", "left_semi").mapInArrow(_sets, "d long, s array<long>"), "sets")
+    ids = Stage(edges.df.select(F.col("u").alias("d")).union(edges.df.select("v")).distinct(), "ids")
+    sets = Stage(only(d, ids.df, "d").mapInArrow(_sets, "d long, s array<long>"), "sets")
     side = lambda x: sets.df.select(F.col("d").alias(x), F.col("s").alias(f"s{x}"))
     pair = edges.df.join(side("u"), "u").join(side("v"), "v").withColumn("i", F.size(F.array_intersect("su", "sv")))
     alike = pair.where(F.col("i") >= threshold * (F.size("su") + F.size("sv") - F.col("i"))).select("u", "v")
     # A doc_id of several texts is linked to the copies of each.
     links = Stage(alike.union(copies.df.select("rep", "d")).distinct(), "links")
-    for x in (sk, copies, edges, sets):
+    for x in (sk, copies, edges, ids, sets):
         x.drop()
     label, _ = components(links.df)
     out = d.select("d").distinct().join(label.select(F.col("node").alias("d"), "group"), "d", "left")

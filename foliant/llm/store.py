@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _local: list[str] = []
 
@@ -36,3 +36,9 @@ class Stage:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def only(df: DataFrame, ids: DataFrame, on: str, most: int = 4_000_000) -> DataFrame:
+    """The rows of ``df`` whose ``on`` (a long) is in ``ids``: wide rows stay where they are while
+    there are at most ``most`` ids, which are then broadcast; beyond that both sides are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, "left_semi")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import Stage
+from .store import Stage, only
 from .textkit import Lookup, Words, list_array, pieces, shingles, signed
 
 SHINGLE = 3
@@ -135,6 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, max_loo
     pairs = hits.join(prefix, "h").where("size >= need").groupBy("d", "i").agg(F.collect_set("p").alias("hits"))
     sets = each.groupBy("i").agg(F.collect_list("h").alias("s"), F.first("words").alias("words"))
     todo = pairs.join(sets, "i").groupBy("d").agg(F.collect_list(F.struct("i", "words", "s", "hits")).alias("items"))
-    found = d.join(Stage(todo, "candidates").df, "d").mapInArrow(_verify(threshold), "d long, i long, containment double, start long")
+    todo = Stage(todo, "candidates").df
+    found = only(d, todo.select("d"), "d").join(todo, "d").mapInArrow(_verify(threshold), "d long, i long, containment double, start long")
     best = found.groupBy("d", "i").agg(F.max(F.struct("containment", -F.col("start"))).alias("b"))
     return best.select(F.col("d").alias("doc_id"), F.col("i").alias("item_id"), "b.containment", (-F.col("b.col2")).alias("start"))

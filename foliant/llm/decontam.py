@@ -139,3 +139,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, max_loo
     found = only(d, todo.select("d"), "d").join(todo, "d").mapInArrow(_verify(threshold), "d long, i long, containment double, start long")
     best = found.groupBy("d", "i").agg(F.max(F.struct("containment", -F.col("start"))).alias("b"))
     return best.select(F.col("d").alias("doc_id"), F.col("i").alias("item_id"), "b.containment", (-F.col("b.col2")).alias("start"))
+
+
+def without_leaks(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, of documents that leak nothing.  Rows without an id stay."""
+    return only(docs, Stage(found.select(F.col("doc_id").alias(id_col)).distinct(), "leaking").df, id_col, how="left_anti")

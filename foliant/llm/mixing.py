@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .features import Features, choose, labelled
-from .store import Stage
+from .store import Stage, only
 from .textkit import pieces, reduce_sum
 
 DOMAINS = ("clean", "low", "toxic")
@@ -140,3 +140,14 @@ def rates(
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("d", "t", *names)), pa.array(replay(p, history, ridge)[1])], ["doc_id", "n_tokens", *(f"p_{x}" for x in DOMAINS), "rate"])
 
     return post.mapInArrow(last, "doc_id long, n_tokens long, " + ", ".join(f"p_{x} double" for x in DOMAINS) + ", rate double")
+
+
+def resampled(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, each as many times as its rate says: the rate's floor, and one more where its
+    fraction exceeds a hash of the id.  Documents that share an id take the largest of their numbers;
+    rows without an id stay once.  Only ids whose number isn't 1 are joined."""
+    u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    times = rated.where("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate")).select(F.col("doc_id").alias(id_col), F.floor(F.col("rate") + u).cast("int").alias("__times"))
+    other = Stage(times.where("__times != 1"), "times").df
+    joined = only(docs, other, id_col, how="left").withColumn("__times", F.coalesce("__times", F.lit(1))).where("__times > 0")
+    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)

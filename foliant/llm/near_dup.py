@@ -209,3 +209,11 @@ def _by(*cols: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(*cols)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows, with all their columns, whose id is kept; one row of each id.  Rows without an id stay."""
+    gone = Stage(groups.where("not kept").select(F.col("doc_id").alias(id_col)), "gone").df
+    again = Stage(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "again").df
+    left = only(docs, gone, id_col, how="left_anti")
+    return only(left, again, id_col, how="left_anti").union(only(left, again, id_col).dropDuplicates([id_col]))

@@ -19,6 +19,8 @@ MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1
 BASE = 0x9E3779B97F4A7C15
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: For words that are whatever stands between ASCII white space.
+SPACED = np.arange(256) > 32
 #: Bytes of text worked on at once; bounds a worker's memory at about 40 times this.
 CHUNK = 2_000_000
 
@@ -92,13 +94,13 @@ class Words:
     """``hash`` of each word, ``off``: the words of value i are off[i]:off[i+1];
     ``start`` and ``size`` in bytes of ``data``, the lower-case text with offsets ``byte_off``."""
 
-    def __init__(self, arr: pa.Array) -> None:
-        self.data, self.byte_off = data, off = raw(pc.utf8_lower(filled(arr)))
+    def __init__(self, arr: pa.Array, mask: np.ndarray = WORD, lower: bool = True) -> None:
+        self.data, self.byte_off = data, off = raw(pc.utf8_lower(filled(arr)) if lower else filled(arr))
         if not len(data):
             self.hash, self.start = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             self.size, self.off = self.start, np.zeros(len(off), np.int64)
             return
-        inside = WORD[data]
+        inside = mask[data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         first = off[:-1][off[:-1] < off[1:]]

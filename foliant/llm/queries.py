@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, line_dedup, mixing, near_dup, quality, suffix_dedup, token_counts, token_ids
+from . import ann, decontam, langid, line_dedup, mixing, near_dup, quality, suffix_dedup, token_counts, token_ids
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op6_token_ids": op6_token_ids,

@@ -4,7 +4,7 @@
 2. Each distinct pre-token is encoded once, for its number of pieces.
 3. Documents' pre-token frequencies are joined with these numbers and summed.
 
-The join has two ways.  The ``most`` most frequent pre-tokens are broadcast (a bounded table,
+The join has two ways.  At most ``most`` of the most frequent pre-tokens are broadcast (a bounded table,
 whatever the data); frequencies of all others are shuffled and joined with the whole table.
 """
 
@@ -94,7 +94,16 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, mo
     d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
     seen = d.select("text").mapInArrow(_pre_tokens(pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = Stage(seen.mapInArrow(_count(content, pattern), "piece string, n long, k long"), "pretokens")
-    top = vocabulary.df.orderBy(F.desc("n"), "piece").limit(most).select("piece", "k").toArrow()
+    # The most frequent: all from a step of a scale of frequencies on, so that nothing is sorted.
+    scaled = vocabulary.df.withColumn("step", F.floor(F.log2("n") * 8))
+    sizes = {r.step: r["count"] for r in scaled.groupBy("step").count().collect()}
+    held, least = 0, max(sizes, default=0) + 1
+    for step in sorted(sizes, reverse=True):
+        held += sizes[step]
+        if held > most:
+            break
+        least = step
+    top = scaled.where(F.col("step") >= least).select("piece", "k").toArrow()
     known = spark.sparkContext.broadcast((top["piece"].to_pylist(), pc.cast(top["k"], pa.int64()).to_pylist()))  # at most `most`
     each = Stage(d.mapInArrow(_sum(known, pattern), "d long, piece string, f long, k long"), "frequencies").df
     rest = each.where("piece is not null").select("d", "piece", "f").join(vocabulary.df.select("piece", F.col("k").alias("pieces")), "piece")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ BLOCK = 128
 #: By selector: values in a word, and bits of each.
 COUNT = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+_SMALL = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -45,46 +47,65 @@ def encode(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     nth = ragged(blocks)
     seg = np.repeat(np.arange(len(size)), blocks)
     length = np.minimum(size[seg] - nth * BLOCK, BLOCK)
-    v = np.zeros((n, BLOCK + int(COUNT.max())), np.uint64)
+    v = np.zeros((n, BLOCK), np.uint64)
     v[np.repeat(np.arange(n), length), ragged(length)] = values[off[0] : off[-1]]
-    width = np.zeros((n, BLOCK), np.uint8)
-    small = v[:, :BLOCK]
-    high = (small >> np.uint64(32)).astype(np.float64)
-    width[:] = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp((small & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
-    best = np.zeros((n, BLOCK), np.uint8)
-    here = np.arange(BLOCK, dtype=np.int16)
-    for s in range(15, 0, -1):
-        bad = np.where(width > BITS[s], here, np.int16(BLOCK))
-        until = np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1]
-        best[((until - here) >= COUNT[s]) | (until == BLOCK)] = s
-    at, live, taken = np.zeros(n, np.int64), np.arange(n), []
+    # Position by position (rows), all blocks side by side (columns).
+    width = np.ascontiguousarray(_widths(v).T)
+    most = int(width.max(initial=0))
+    fits = int(np.flatnonzero(BITS[1:] >= most)[0]) + 1 if most <= 60 else 0
+    best = np.full((BLOCK, n), fits or 255, np.uint8)
+    for s in range(15 if most > 60 else fits - 1, 0, -1):
+        ok = width <= BITS[s]
+        if not ok.any():
+            break
+        one = ok.view(np.uint8)
+        run, tag, full, here = np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.ones(n, bool), np.zeros(n, bool)
+        for i in range(BLOCK - 1, -1, -1):  # run: fitting values from here on; full: up to the end
+            np.add(run, 1, out=run)
+            np.multiply(run, one[i], out=run)
+            np.logical_and(full, ok[i], out=full)
+            np.greater_equal(run, int(COUNT[s]), out=here)
+            np.logical_or(here, full, out=here)
+            np.subtract(here.view(np.uint8), 1, out=tag)  # 0 where it may be s, else 255
+            np.bitwise_or(tag, s, out=tag)
+            np.minimum(best[i], tag, out=best[i])
+    best[best == 255] = 0
+    at, used, live, taken = np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), []
     while len(live):
-        s = best[live, at[live]]
-        taken.append((live, at[live].copy(), s))
+        s = best[at[live], live]
+        taken.append((live, at[live], s, used[live]))
         at[live] += COUNT[s]
+        used[live] += 1 + (s == 0)
         live = live[at[live] < length[live]]
-    if not taken:
-        zero = np.zeros(len(off), np.int64)
-        return np.zeros(0, np.uint64), zero, np.zeros(0, np.int64), zero
-    b, p, s = (np.concatenate([t[i] for t in taken]) for i in range(3))
-    order = np.lexsort((p, b))
-    b, p, s = b[order], p[order], s[order].astype(np.int64)
-    place = np.concatenate([[0], np.cumsum(1 + (s == 0))])
-    words = np.zeros(int(place[-1]), np.uint64)
-    for k in range(16):
+    first = np.concatenate([[0], np.cumsum(used)])
+    words = np.zeros(int(first[-1]), np.uint64)
+    b, p, s, nth = (np.concatenate([t[i] for t in taken] or [np.zeros(0, np.int64)]) for i in range(4))
+    place = first[b] + nth
+    flat = np.concatenate([v.ravel(), np.zeros(int(COUNT.max()), np.uint64)])
+    for k in np.unique(s):
         i = np.flatnonzero(s == k)
-        if not len(i):
-            continue
+        start, w = b[i] * BLOCK + p[i], place[i]
         if k == 0:
-            words[place[i] + 1] = v[b[i], p[i]]
-        else:
-            shift = np.arange(COUNT[k], dtype=np.uint64) * np.uint64(BITS[k])
-            words[place[i]] = np.bitwise_or.reduce(v[b[i][:, None], p[i][:, None] + np.arange(COUNT[k])] << shift, axis=1) | np.uint64(k << 60)
-    first = place[np.searchsorted(b, np.arange(n + 1))]
+            words[w + 1] = flat[start]
+            continue
+        left = BLOCK - p[i]
+        word = np.full(len(i), int(k) << 60, np.uint64)
+        for c in range(COUNT[k] if BITS[k] else 0):
+            x = flat[start + c] << np.uint64(c * BITS[k])
+            word |= x * (c < left) if c + 1 > left.min(initial=BLOCK) else x
+        words[w] = word
     seg_words = first[block_off]
     return words, seg_words, first[:-1] - seg_words[seg], block_off
 
 
+def _widths(v: np.ndarray) -> np.ndarray:
+    """Bits of each value."""
+    if v.max(initial=0) < 1 << 16:
+        return _SMALL[v]
+    high = (v >> np.uint64(32)).astype(np.float64)
+    return np.where(high > 0, 32 + np.frexp(high)[1], np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+
+
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The n values of one segment; all blocks at once."""
     out = np.zeros((len(offsets), BLOCK + int(COUNT.max())), np.uint64)
@@ -111,9 +132,9 @@ def _pack(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for b in pieces(batches):
-            ids = [enc.encode_to_numpy(t, disallowed_special=()) for t in filled(b.column("text")).to_pylist()]
+            ids = [enc.encode_ordinary(t) for t in filled(b.column("text")).to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            words, seg, blocks, block_off = encode(np.concatenate(ids), off)
+            words, seg, blocks, block_off = encode(np.fromiter(chain.from_iterable(ids), np.uint64, int(off[-1])), off)
             data = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(seg * 8), pa.py_buffer(words.astype("<u8"))])
             yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(np.diff(off)), data.cast(pa.binary()), list_array(blocks, block_off, pa.int32())], ["doc_id", "n_tokens", "words", "block_offsets"])
 

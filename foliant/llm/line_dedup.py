@@ -1,7 +1,7 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are the parts of a text between newlines, without white space at their ends; blank lines
-don't count.  Documents are ordered by (doc_id, text), nulls first.  A run of ``window`` or more
+don't count.  Documents are ordered by (doc_id, hash of the text), nulls first.  A run of ``window`` or more
 consecutive lines is deleted where the same run stands earlier, in the same or an earlier
 document; a document with fewer lines is one run, deleted where a document of just those lines
 stands earlier.

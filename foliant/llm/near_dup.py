@@ -8,15 +8,19 @@ to be made, and sketches of parts merge by the maximum of their registers.  A re
 
 Documents of equal words collapse first.  Bands of ``rows`` registers are joined; in each bucket
 the smallest document left leads: all others are compared with it by the joint maximum likelihood
-of (bigger, smaller, equal) register counts, those surely alike leave, and the next one leads,
-until none is left.  So nobody is skipped, and a bucket of n copies takes n comparisons.  Pairs
-likely enough are verified by the exact Jaccard similarity of their shingle sets; groups are the
+of (bigger, smaller, equal) register counts, and those surely alike follow it.  What is left is
+then compared with each follower in turn, whose own followers join them, and the next document
+leads, until none is left.  So a pair is compared unless both follow the same leader, and a bucket
+of n copies takes n comparisons.  Pairs likely enough are verified by the exact Jaccard similarity
+of their shingle sets.  Where a pair that was sure fails, the buckets that hold both are walked
+again without it, until every pair that wasn't compared is implied by verified ones.  Groups are the
 connected components of verified pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,37 +120,46 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lead(m: int, threshold: float, margin: float):
-    """Edges (u, v) from the members of each bucket to its leaders; rows come sorted by bucket and id."""
-
-    def bucket(ids: np.ndarray, k: np.ndarray, out: list) -> None:
-        while len(ids) > 1:
-            est = np.concatenate([jaccard_ml(np.broadcast_to(k[0], x.shape), x) for x in np.array_split(k[1:], len(k) // 4096 + 1)])
-            out.append((np.full((est >= threshold - margin).sum(), ids[0]), ids[1:][est >= threshold - margin]))
-            left = est < threshold + margin
-            ids, k = ids[1:][left], k[1:][left]
+    """Edges (u, v, sure) of the members of each bucket, u < v; pairs that aren't compared are joined
+    by edges that are sure.  Rows come sorted by bucket and id; ``no``: ids that aren't surely alike."""
+
+    def bucket(ids: np.ndarray, k: np.ndarray, no: list, out: list) -> None:
+        left, follow = np.arange(len(ids)), []
+        while len(left):
+            if follow:
+                at = follow.pop()
+            else:
+                at, left = left[0], left[1:]
+            est = np.concatenate([jaccard_ml(np.broadcast_to(k[at], (len(x), k.shape[1])), k[x]) for x in np.array_split(left, len(left) // 4096 + 1)])
+            near, sure = est >= threshold - margin, est >= threshold + margin
+            if no[at]:
+                sure &= ~np.isin(ids[left], no[at])
+            out.append((np.full(near.sum(), ids[at]), ids[left][near], sure[near]))
+            follow.extend(left[sure])
+            left = left[~sure]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
-        def solve(key: np.ndarray, ids: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        def solve(key: np.ndarray, ids: np.ndarray, k: np.ndarray, no: np.ndarray) -> pa.RecordBatch:
             at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(at, len(key)))
             out: list = []
             two = at[size == 2]
             if len(two):
                 ok = jaccard_ml(k[two], k[two + 1]) >= threshold - margin
-                out.append((ids[two][ok], ids[two + 1][ok]))
+                out.append((ids[two][ok], ids[two + 1][ok], np.zeros(ok.sum(), bool)))  # nothing else hangs on them
             for i in np.flatnonzero(size > 2):
-                bucket(ids[at[i] : at[i] + size[i]], k[at[i] : at[i] + size[i]], out)
-            u, v = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
-            e = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+                bucket(*(x[at[i] : at[i] + size[i]] for x in (ids, k, no)), out)
+            u, v, sure = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1, 2))
+            e = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), sure], 1), axis=0)
             e = e[e[:, 0] != e[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(e[:, 2] == 1)], ["u", "v", "sure"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            got = [b.column("b").to_numpy(), b.column("d").to_numpy(), np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint16).reshape(-1, m)]
+            got = [b.column("b").to_numpy(), b.column("d").to_numpy(), np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint16).reshape(-1, m), np.fromiter(b.column("no").to_pylist(), object, b.num_rows)]
             rest = got if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, got, strict=True)]
             other = np.flatnonzero(rest[0] != rest[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -189,16 +202,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, m: int = 128, rows:
     copies = Stage(sk.df.select("d", "c1", "c2").withColumn("rep", rep).where("d != rep").select("d", "rep").distinct(), "copies")
     reps = sk.df.join(copies.df.select("d"), "d", "left_anti")
     shared = reps.select("d", F.explode("bands").alias("b")).distinct().withColumn("n", F.count("*").over(_by("b"))).where("n > 1").drop("n")
-    rows_ = shared.join(reps.select("d", "k"), "d").repartition("b").sortWithinPartitions("b", "d")
-    edges = Stage(rows_.mapInArrow(_lead(m, threshold, margin), "u long, v long").distinct(), "edges")
-    ids = Stage(edges.df.select(F.col("u").alias("d")).union(edges.df.select("v")).distinct(), "ids")
-    sets = Stage(only(d, ids.df, "d").mapInArrow(_sets, "d long, s array<long>"), "sets")
-    side = lambda x: sets.df.select(F.col("d").alias(x), F.col("s").alias(f"s{x}"))
-    pair = edges.df.join(side("u"), "u").join(side("v"), "v").withColumn("i", F.size(F.array_intersect("su", "sv")))
-    alike = pair.where(F.col("i") >= threshold * (F.size("su") + F.size("sv") - F.col("i"))).select("u", "v")
+    rows_ = shared.join(reps.select("d", "k"), "d").withColumn("no", F.lit(None).cast("array<long>"))
+    alike, stages = [], []
+    no = None
+    while True:
+        walk = rows_.repartition("b").sortWithinPartitions("b", "d").mapInArrow(_lead(m, threshold, margin), "u long, v long, sure boolean")
+        edges = Stage(walk.groupBy("u", "v").agg(F.max("sure").alias("sure")), "edges")
+        new = edges.df.join(stages[-1].df, ["u", "v"], "left_anti") if stages else edges.df
+        ids = Stage(new.select(F.col("u").alias("d")).union(new.select("v")).distinct(), "ids")
+        sets = Stage(only(d, ids.df, "d").mapInArrow(_sets, "d long, s array<long>"), "sets")
+        side = lambda x: sets.df.select(F.col("d").alias(x), F.col("s").alias(f"s{x}"))  # noqa: B023, E731
+        pair = new.join(side("u"), "u").join(side("v"), "v").withColumn("i", F.size(F.array_intersect("su", "sv")))
+        ok = Stage(pair.where(F.col("i") >= threshold * (F.size("su") + F.size("sv") - F.col("i"))).select("u", "v").distinct(), "alike")
+        alike.append(ok)
+        # All pairs compared so far, and whether they are alike.
+        done = new.select("u", "v", "sure").join(ok.df.withColumn("ok", F.lit(True)), ["u", "v"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        stages.append(Stage(done.union(stages[-1].df) if stages else done, "compared"))
+        wrong = edges.df.where("sure").select("u", "v").join(stages[-1].df.where("not ok").select("u", "v"), ["u", "v"])
+        failed = Stage(wrong.union(no.df).distinct() if no else wrong, "failed")
+        for x in (edges, ids, sets):
+            x.drop()
+        more = failed.df.count() > (no.df.count() if no else 0)
+        if not more:
+            break
+        no = failed
+        again = no.df.join(shared.select(F.col("d").alias("u"), "b"), "u").join(shared.select(F.col("d").alias("v"), "b"), ["v", "b"]).select("b").distinct()
+        both = no.df.union(no.df.select("v", "u")).groupBy(F.col("u").alias("d")).agg(F.collect_list("v").alias("no"))
+        rows_ = shared.join(again, "b", "left_semi").join(reps.select("d", "k"), "d").join(both, "d", "left").select("d", "b", "k", "no")
     # A doc_id of several texts is linked to the copies of each.
-    links = Stage(alike.union(copies.df.select("rep", "d")).distinct(), "links")
-    for x in (sk, copies, edges, ids, sets):
+    links = Stage(reduce(DataFrame.union, [x.df for x in alike]).union(copies.df.select("rep", "d")).distinct(), "links")
+    for x in (sk, copies, *alike, *stages):
         x.drop()
     label, _ = components(links.df)
     out = d.select("d").distinct().join(label.select(F.col("node").alias("d"), "group"), "d", "left")

@@ -62,6 +62,20 @@ def test_groups_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.group_id) for r in out)
 
 
+def test_copies_of_one_original_are_linked_whatever_leads(spark):
+    base = prose(400)
+    rows = [(150, " ".join(base))]
+    for d in (*range(150), *range(151, 301)):
+        new = {R.randrange(at, at + 12) for at in range(0, 396, 12)}  # a quarter of the runs of three words
+        rows.append((d, " ".join(f"own{d}" if i in new else w for i, w in enumerate(base))))
+    want, pairs = brute(rows, 0.5)
+    assert pairs == {(min(d, 150), max(d, 150)) for d, _ in rows if d != 150}  # the copies aren't alike to each other
+    got = {r.doc_id: r.group_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert found >= 0.97 * len(pairs), (found, len(pairs))
+    assert all(want[a] == want[b] for a, b in got.items())
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a b c d", "x"), (4, "A, b; c. D!", "x"), (None, "a b c d", "x"), (5, "lone", None), (6, "lone", None), (3, "a b c d", "x"), (7, "word " * 30000, "x"), (8, "字字 字", "x"), (9, "字字字", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, k string").withColumn("c1", F.lit(1)).withColumn("bands", F.lit(2)).withColumn("rep", F.lit(3))

@@ -199,8 +199,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, m: int = 128, rows:
     d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null")
     sk = Stage(d.mapInArrow(_sketch(m, rows), "d long, c1 long, c2 long, k binary, bands array<long>"), "sketches")
     rep = F.min("d").over(_by("c1", "c2"))
-    copies = Stage(sk.df.select("d", "c1", "c2").withColumn("rep", rep).where("d != rep").select("d", "rep").distinct(), "copies")
-    reps = sk.df.join(copies.df.select("d"), "d", "left_anti")
+    copies = Stage(sk.df.select("d", "c1", "c2").withColumn("rep", rep).where("d != rep").distinct(), "copies")
+    reps = sk.df.join(copies.df.select("d", "c1", "c2"), ["d", "c1", "c2"], "left_anti")
     shared = reps.select("d", F.explode("bands").alias("b")).distinct().withColumn("n", F.count("*").over(_by("b"))).where("n > 1").drop("n")
     rows_ = shared.join(reps.select("d", "k"), "d").withColumn("no", F.lit(None).cast("array<long>"))
     alike, stages = [], []

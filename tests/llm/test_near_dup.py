@@ -84,6 +84,15 @@ def test_odd_rows(spark):
     assert n.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_a_repeated_id_is_alike_to_what_each_of_its_texts_is(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    near = lambda x: " ".join(["other", *x[1:]])
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, near(b)), (20, " ".join(c)), (21, " ".join(c)), (21, near(c)), (22, "alone")]
+    rows += [(7, " ".join(b))]  # 5 stands for this copy
+    got = {r.doc_id: r.group_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 9: 1, 20: 20, 21: 20, 22: 22}
+
+
 def test_words_are_those_of_the_definition():
     texts = ["Ab c-d éÉ 1x", "", "漢字ab字 ñandú", "  ", "a b", "😀x😀"]
     w = Words(pa.array([*texts, None]))

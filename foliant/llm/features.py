@@ -1,8 +1,8 @@
 """Sparse binary features of documents: hashed words and beginnings of words, binned structure statistics, metadata.
 
-A vocabulary of word buckets and metadata values is chosen from a labelled sample by the
-chi-squared statistic; statistics are cut at the sample's quantiles.  Everything is then linear
-in the length of a text.
+Word buckets are chosen from a labelled sample by the chi-squared statistic (``Selection``); every
+metadata value of the sample is a feature; statistics are cut at the sample's quantiles.
+Everything is then linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import Lookup, Words, filled, list_array, pieces, raw, signed
+from .store import long_id, smallest
+from .textkit import Lookup, Words, filled, list_array, pieces, ragged, raw, signed
 
 BUCKETS = np.uint64((1 << 24) - 1)
 BINS = 8
@@ -77,6 +78,32 @@ def raw_features(cols: list[str], keep: list[str]):
     return run
 
 
+@dataclass(frozen=True)
+class Selection:
+    """Word buckets to fit to: at most ``most``, of ``least_rows`` labelled rows and a chi-squared of ``least_chi2``, the largest first."""
+
+    most: int = 4096
+    least_chi2: float = 12.0
+    least_rows: int = 3
+
+
+class Rows:
+    """Sparse 0/1 rows of ``size`` columns."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, n: int, size: int) -> None:
+        order = np.argsort(rows, kind="stable")
+        self.off, self.cols, self.size = np.searchsorted(rows[order], np.arange(n + 1)), cols[order], size
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def dense(self, at: np.ndarray) -> np.ndarray:
+        count = np.diff(self.off)[at]
+        x = np.zeros((len(at), self.size))
+        x[np.repeat(np.arange(len(at)), count), self.cols[np.repeat(self.off[:-1][at], count) + ragged(count)]] = 1
+        return x
+
+
 @dataclass
 class Features:
     """What was chosen: word buckets, metadata values and the cuts of the statistics, in this order of columns."""
@@ -112,21 +139,24 @@ class Features:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, cols: list[str], id_col: str, text_col: str, label_cols: list[str]) -> pa.Table:
-    """Raw features of at most ``rows`` labelled documents, the smallest by a hash of the id; with ``label_cols``.
+    """Raw features of the documents of at most ``rows`` labelled ids, the smallest by a hash of the id; with ``label_cols``.
 
-    Of several labels of one id, the largest of each column; of several documents of one id, each.
+    Of several labels of one id, the largest of each column; of several documents of one id, the
+    one of the smallest hash of the text.
     """
-    lab = labels.select(F.col(id_col).cast("long").alias("d"), *(F.col(c).cast("int").alias(f"y_{c}") for c in label_cols)).dropna()
+    lab = labels.select(long_id(labels, id_col).alias("d"), *(F.col(c).cast("int").alias(f"y_{c}") for c in label_cols)).dropna()
     lab = lab.groupBy("d").agg(*(F.max(f"y_{c}").alias(f"y_{c}") for c in label_cols))
-    ids = docs.select(F.col(id_col).cast("long").alias("d")).join(lab, "d").orderBy(F.xxhash64("d"), "d").limit(rows)
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(c) for c in cols))
+    ids = smallest(lab.select("d").join(docs.select(long_id(docs, id_col).alias("d")), "d", "left_semi"), rows)
+    lab = lab.join(F.broadcast(ids), "d")  # ids: at most `rows`
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text"), *(F.col(c).cast("string").alias(c) for c in cols))
+    d = d.join(F.broadcast(ids), "d").groupBy("d").agg(F.min_by(F.struct(*(F.col(c) for c in d.columns if c != "d")), F.xxhash64("text")).alias("x")).select("d", "x.*")
     keep = ["d", *(f"y_{c}" for c in label_cols)]
     schema = "d long, " + "".join(f"y_{c} int, " for c in label_cols) + "words array<int>, meta array<string>, stats array<double>"
-    return d.join(F.broadcast(ids), "d").mapInArrow(raw_features(cols, keep), schema).toArrow().sort_by("d")  # ids: at most `rows`
+    return d.join(F.broadcast(lab), "d").mapInArrow(raw_features(cols, keep), schema).toArrow().sort_by("d")
 
 
-def choose(table: pa.Table, y: np.ndarray, cols: list[str], most: int = 4096, least_chi2: float = 12.0) -> tuple[Features, np.ndarray]:
-    """Features chosen for classes y (0, 1, ...), and the sample's dense 0/1 matrix."""
+def choose(table: pa.Table, y: np.ndarray, cols: list[str], selection: Selection) -> tuple[Features, Rows]:
+    """Features chosen for classes y (0, 1, ...), and the sample's rows of them."""
     n, classes = len(y), int(y.max(initial=0)) + 1
     words = table["words"].combine_chunks()
     if isinstance(words, pa.ChunkedArray):
@@ -140,19 +170,18 @@ def choose(table: pa.Table, y: np.ndarray, cols: list[str], most: int = 4096, le
     with np.errstate(divide="ignore", invalid="ignore"):
         inside = ((table_ - df[:, None] * share) ** 2 / (df[:, None] * share)).sum(axis=1)
         chi2 = np.nan_to_num(inside * n / np.maximum(n - df, 1e-9))
-    some = np.flatnonzero((df >= 3) & (chi2 >= least_chi2))
-    some = np.sort(some[np.lexsort((some, -chi2[some]))][:most])
-    values = sorted({v for r in table["meta"].to_pylist() for v in r})[: 1 << 12]
+    some = np.flatnonzero((df >= selection.least_rows) & (chi2 >= selection.least_chi2))
+    some = np.sort(some[np.lexsort((some, -chi2[some]))][: selection.most])
+    metas = table["meta"].to_pylist()
+    values = sorted({v for r in metas for v in r})
     s = np.array(table["stats"].to_pylist(), np.float64).reshape(n, N_STATS)
     cuts = np.quantile(s, np.arange(1, BINS) / BINS, axis=0).T if n else np.zeros((N_STATS, BINS - 1))
     f = Features(kinds[some].astype(np.uint64), values, cuts, cols)
-    x = np.zeros((n, f.size), np.uint8)
     column = np.full(len(kinds), -1)
     column[some] = np.arange(len(some))
     ok = column[place] >= 0
-    x[owner[ok], column[place][ok]] = 1
-    x[np.arange(n)[:, None], f.binned(s)] = 1
     known = {v: len(f.words) + k for k, v in enumerate(values)}
-    for r, vs in enumerate(table["meta"].to_pylist()):
-        x[r, [known[v] for v in vs if v in known]] = 1
-    return f, x
+    pairs = [(r, known[v]) for r, vs in enumerate(metas) for v in dict.fromkeys(vs)]
+    more = np.array(pairs, np.int64).reshape(-1, 2)
+    rows = np.concatenate([owner[ok], more[:, 0], np.repeat(np.arange(n), N_STATS)])
+    return f, Rows(rows, np.concatenate([column[place][ok], more[:, 1], f.binned(s).ravel()]), n, f.size)

@@ -70,6 +70,14 @@ def long_id(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("long")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def only(df: DataFrame, ids: DataFrame, on: str, most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
     """The rows of ``df`` whose ``on`` (a long) is in ``ids``: wide rows stay where they are while
     there are at most ``most`` ids, which are then broadcast; beyond that both sides are shuffled.

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from foliant.llm import quality as q
+from foliant.llm.features import Selection
 
 R = random.Random(3)
 V = ["".join(R.choices("abcdefghij", k=R.randint(1, 7))) for _ in range(300)]
@@ -63,3 +64,43 @@ def test_odd_rows(spark):
     none = q.classify(docs, lab.limit(0)).collect()
     assert len(none) == 64 and all(r.kept for r in none)
     assert q.classify(docs.limit(0), lab).collect() == []
+
+
+def test_every_metadata_value_of_the_sample_is_a_feature(spark):
+    """5,000 sources, of which the last in the alphabet are the bad ones: nothing else tells them apart."""
+    rows = [(d, "the same words in every text", "en", f"s{d % 5000:05d}") for d in range(10_000)]
+    docs, lab = frames(spark, rows, [(d, int(d % 5000 < 4500), 0) for d in range(10_000)])
+    machine = q.train(docs, lab)
+    assert len([v for v in machine.features.meta if v.startswith("source=")]) == 5000
+    kept = {r.doc_id: r.kept for r in q.classify(docs, lab).collect()}
+    assert np.mean([kept[d] == (d % 5000 < 4500) for d in kept]) > 0.95
+
+
+def test_fewer_features_and_fewer_rows_can_be_asked_for(spark):
+    rows, labels = corpus(200)
+    docs, lab = frames(spark, rows, labels)
+    few = q.train(docs, lab, selection=Selection(most=2))
+    assert len(few.features.words) == 2 and len(q.train(docs, lab, selection=Selection(least_chi2=0, least_rows=1)).features.words) > 200
+    assert q.train(docs, lab, train_rows=30).w.shape
+
+
+def test_a_filter_judges_as_the_classifier_does(spark):
+    """Metadata of any type, and columns named as the filter's own."""
+    rows, labels = corpus(300)
+    docs, lab = frames(spark, rows, labels)
+    docs = docs.selectExpr("doc_id", "text", "array(lang, source) as lang", "cast(doc_id % 3 as double) / 7 as source", "1 as lang_text", "2 as source_text")
+    kept = {r.doc_id for r in q.classify(docs, lab).collect() if r.kept}
+    got = q.passing(docs, lab)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == kept and 0 < len(kept) < 300
+
+
+def test_ties_and_repeated_labels(spark):
+    """Equal rows score equally, and a score of just the threshold is rejected; of two texts of a labelled id one is fitted to."""
+    rows, labels = corpus(80)
+    rows += [(7, rows[7][1] + " more", "en", "s1"), rows[8], rows[8]]
+    docs, lab = frames(spark, rows, labels)
+    out = q.classify(docs, lab).collect()
+    same = [r for r in out if r.doc_id == 8]
+    assert len(out) == 83 and len({r.score for r in same}) == 1 and len(same) == 3
+    again = q.classify(docs, lab, threshold=same[0].score).collect()
+    assert not any(r.kept for r in again if r.doc_id == 8)

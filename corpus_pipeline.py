@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from foliant.llm import decontam, mixing, near_dup, quality, token_ids
 from foliant.llm.store import Stage
 
+#: Shares of the expected tokens of clean, low-quality and toxic text in what is written.
+MIX = (0.985, 0.01, 0.005)
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to the labelled ones among them, keeps."""
@@ -28,15 +31,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, each as often as its rate says.
+    """Documents, each as often as its rate says, for the token shares of ``MIX``.
 
     The classifier is fitted to the labelled rows of ``documents``, as few of the low-quality and toxic
-    domains are left here.  The budget is 2 % over the tokens at hand and goes to the clean domain, so
-    that clean documents have rates of 1 and more and stay, while what the first stage let through
-    has rates below.
+    domains are left here.  The budget is what keeps the clean domain's tokens as many as they are.
     """
     labels, all_docs = spark.read.parquet(f"{sf_dir}/labels.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixing.resampled(docs, mixing.rates(docs, labels, target=(0.996, 0.003, 0.001), budget=1.02, train_docs=all_docs))
+    return mixing.resampled(docs, mixing.rates(docs, labels, target=MIX, budget=None, train_docs=all_docs))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows over the table ``documents`` of a folder, a row per copy of a document that
+    is left.  Empty tables give no rows; between the stages one table is kept."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Stage(docs, name).df
+            written = Stage(docs, name)
+            if before:
+                before.drop()
+            docs, before = written.df, written
     return docs

@@ -15,6 +15,11 @@ of n copies takes n comparisons.  Pairs likely enough are verified by the exact
 of their shingle sets.  Where a pair that was sure fails, the buckets that hold both are walked
 again without it, until every pair that wasn't compared is implied by verified ones.  Groups are the
 connected components of verified pairs.
+
+A bucket of more than ``bucket`` documents is split into parts by a hash of the id, which are walked
+like buckets of their own.  Then one document of each component found so far stands for it in the
+bucket, and these are walked, until that joins no more; what is still apart is compared pair by
+pair, in blocks, the members of all but the largest component with those of every other.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import Stage, only
+from .store import Stage, long_id, only, only_stage
 from .textkit import Words, list_array, mix, pieces, ragged, reduce_sum, shingles, signed
 
 SHINGLE = 3
@@ -60,7 +65,7 @@ def registers(sh: np.ndarray, off: np.ndarray, m: int) -> np.ndarray:
 def band_keys(k: np.ndarray, rows: int) -> np.ndarray:
     """A hash for each band of each sketch."""
     n, m = k.shape
-    parts = k.reshape(n, m // rows, rows).astype(np.uint64)
+    parts = k[:, : m // rows * rows].reshape(n, m // rows, rows).astype(np.uint64)
     key = np.zeros(parts.shape[:2], np.uint64)
     for i in range(rows):
         key = mix(key * np.uint64(0x100000001B3) + parts[:, :, i] + np.uint64(1))
@@ -121,7 +126,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lead(m: int, threshold: float, margin: float):
     """Edges (u, v, sure) of the members of each bucket, u < v; pairs that aren't compared are joined
-    by edges that are sure.  Rows come sorted by bucket and id; ``no``: ids that aren't surely alike."""
+    by edges that are sure.  Rows come sorted by bucket ``g`` and id; ``no``: ids that aren't surely alike."""
 
     def bucket(ids: np.ndarray, k: np.ndarray, no: list, out: list) -> None:
         left, follow = np.arange(len(ids)), []
@@ -159,7 +164,7 @@ def _lead(m: int, threshold: float, margin: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            got = [b.column("b").to_numpy(), b.column("d").to_numpy(), np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint16).reshape(-1, m), np.fromiter(b.column("no").to_pylist(), object, b.num_rows)]
+            got = [b.column("g").to_numpy(), b.column("d").to_numpy(), np.frombuffer(b"".join(b.column("k").to_pylist()), np.uint16).reshape(-1, m), np.fromiter(b.column("no").to_pylist(), object, b.num_rows)]
             rest = got if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, got, strict=True)]
             other = np.flatnonzero(rest[0] != rest[0][-1])
             cut = int(other[-1]) + 1 if len(other) else 0
@@ -188,60 +193,142 @@ def components(edges: DataFrame) -> tuple[DataFrame, Stage]:
             return now.df.select("node", "group"), now
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, m: int = 128, rows: int = 4, margin: float = 0.15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, group_id (the smallest doc_id of its group), kept (doc_id = group_id); a row per doc_id.
+def _cross(m: int, least: float):
+    """Pairs (u, v, sure) of a block's queries and its members, of different components."""
 
-    Documents are alike from a Jaccard similarity of ``threshold`` of their shingle sets on, or
-    when they have the same words.  Texts without a word (null, empty) are alike to none.  Rows that
-    share a doc_id are one document, alike to whatever one of them is alike to.  Rows without a
-    doc_id are left out.  Other columns are ignored; empty tables give no rows.
-    """
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null")
-    sk = Stage(d.mapInArrow(_sketch(m, rows), "d long, c1 long, c2 long, k binary, bands array<long>"), "sketches")
-    rep = F.min("d").over(_by("c1", "c2"))
-    copies = Stage(sk.df.select("d", "c1", "c2").withColumn("rep", rep).where("d != rep").distinct(), "copies")
-    reps = sk.df.join(copies.df.select("d", "c1", "c2"), ["d", "c1", "c2"], "left_anti")
-    shared = reps.select("d", F.explode("bands").alias("b")).distinct().withColumn("n", F.count("*").over(_by("b"))).where("n > 1").drop("n")
-    rows_ = shared.join(reps.select("d", "k"), "d").withColumn("no", F.lit(None).cast("array<long>"))
-    alike, stages = [], []
-    no = None
-    while True:
-        walk = rows_.repartition("b").sortWithinPartitions("b", "d").mapInArrow(_lead(m, threshold, margin), "u long, v long, sure boolean")
-        edges = Stage(walk.groupBy("u", "v").agg(F.max("sure").alias("sure")), "edges")
-        new = edges.df.join(stages[-1].df, ["u", "v"], "left_anti") if stages else edges.df
+    def run(t: pa.Table) -> pa.Table:
+        ask = t["query"].to_numpy()
+        d, c, k = t["d"].to_numpy(), t["comp"].to_numpy(), np.frombuffer(b"".join(t["k"].to_pylist()), np.uint16).reshape(-1, m)
+        out = []
+        for i in np.flatnonzero(ask):
+            j = np.flatnonzero(~ask & (c != c[i]))
+            j = j[jaccard_ml(np.broadcast_to(k[i], (len(j), m)), k[j]) >= least] if len(j) else j
+            out.append(np.stack([np.minimum(d[i], d[j]), np.maximum(d[i], d[j])], 1))
+        e = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"u": e[:, 0], "v": e[:, 1], "sure": np.zeros(len(e), bool)})
+
+    return run
+
+
+class Joined:
+    """The pairs compared so far, ``alike`` or not, over documents ``d`` (d, text) and ``sketch`` (d, c1, k)."""
+
+    def __init__(self, d: DataFrame, sketch: DataFrame, threshold: float, m: int, margin: float) -> None:
+        self.d, self.sketch, self.threshold, self.m, self.margin = d, sketch, threshold, m, margin
+        self.alike: list[Stage] = []
+        self.compared: Stage | None = None
+        self.no: Stage | None = None
+
+    def verify(self, found: DataFrame) -> tuple[Stage, bool]:
+        """The edges, written; and whether any that wasn't compared before is alike."""
+        edges = Stage(found.groupBy("u", "v").agg(F.max("sure").alias("sure")), "edges")
+        new = edges.df.join(self.compared.df, ["u", "v"], "left_anti") if self.compared else edges.df
         ids = Stage(new.select(F.col("u").alias("d")).union(new.select("v")).distinct(), "ids")
-        sets = Stage(only(d, ids.df, "d").mapInArrow(_sets, "d long, s array<long>"), "sets")
-        side = lambda x: sets.df.select(F.col("d").alias(x), F.col("s").alias(f"s{x}"))  # noqa: B023, E731
+        sets = Stage(only(self.d, ids.df, "d").mapInArrow(_sets, "d long, s array<long>"), "sets")
+        side = lambda x: sets.df.select(F.col("d").alias(x), F.col("s").alias(f"s{x}"))
         pair = new.join(side("u"), "u").join(side("v"), "v").withColumn("i", F.size(F.array_intersect("su", "sv")))
-        ok = Stage(pair.where(F.col("i") >= threshold * (F.size("su") + F.size("sv") - F.col("i"))).select("u", "v").distinct(), "alike")
-        alike.append(ok)
-        # All pairs compared so far, and whether they are alike.
-        done = new.select("u", "v", "sure").join(ok.df.withColumn("ok", F.lit(True)), ["u", "v"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-        stages.append(Stage(done.union(stages[-1].df) if stages else done, "compared"))
-        wrong = edges.df.where("sure").select("u", "v").join(stages[-1].df.where("not ok").select("u", "v"), ["u", "v"])
-        failed = Stage(wrong.union(no.df).distinct() if no else wrong, "failed")
-        for x in (edges, ids, sets):
+        ok = Stage(pair.where(F.col("i") >= self.threshold * (F.size("su") + F.size("sv") - F.col("i"))).select("u", "v").distinct(), "alike")
+        done = new.select("u", "v").join(ok.df.withColumn("ok", F.lit(True)), ["u", "v"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        after = Stage(done.union(self.compared.df) if self.compared else done, "compared")
+        for x in (ids, sets, *([self.compared] if self.compared else [])):
+            x.drop()
+        self.alike.append(ok)
+        self.compared = after
+        return edges, not ok.df.isEmpty()
+
+    def walk(self, members: DataFrame) -> bool:
+        """All pairs of each bucket of (d, c1, g) compared that verified ones don't imply; whether any was alike."""
+        part, any_ = members, False
+        while True:
+            rows = part.join(self.sketch, ["d", "c1"])
+            if self.no:
+                both = self.no.df.union(self.no.df.select("v", "u")).groupBy(F.col("u").alias("d")).agg(F.collect_list("v").alias("no"))
+                rows = rows.join(both, "d", "left").select("d", "g", "k", "no")
+            else:
+                rows = rows.select("d", "g", "k", F.lit(None).cast("array<long>").alias("no"))
+            edges, more = self.verify(rows.repartition("g").sortWithinPartitions("g", "d").mapInArrow(_lead(self.m, self.threshold, self.margin), "u long, v long, sure boolean"))
+            any_ |= more
+            wrong = edges.df.where("sure").select("u", "v").join(self.compared.df.where("not ok").select("u", "v"), ["u", "v"])
+            failed = Stage(wrong.union(self.no.df).distinct() if self.no else wrong, "failed")
+            edges.drop()
+            before = self.no.df.count() if self.no else 0
+            if failed.df.count() <= before:
+                failed.drop()
+                return any_
+            again = failed.df.join(self.no.df, ["u", "v"], "left_anti") if self.no else failed.df
+            again = Stage(again.join(members.select(F.col("d").alias("u"), "g"), "u").join(members.select(F.col("d").alias("v"), "g"), ["v", "g"]).select("g").distinct(), "again")
+            if self.no:
+                self.no.drop()
+            self.no, part = failed, members.join(again.df, "g", "left_semi")
+
+    def links(self) -> DataFrame:
+        return reduce(DataFrame.union, [x.df for x in self.alike])
+
+    def apart(self, hot: DataFrame, bucket: int) -> None:
+        """The members (d, c1, b) of split buckets: components joined by one document of each, then pair by pair."""
+        while True:
+            label, labels = components(self.links())
+            member = Stage(hot.join(label.select(F.col("node").alias("d"), F.col("group").alias("comp")), "d", "left").withColumn("comp", F.coalesce("comp", "d")), "members")
+            labels.drop()
+            one = member.df.groupBy("b", "comp").agg(F.min(F.struct("d", "c1")).alias("x"), F.count("*").alias("size"))
+            several = one.groupBy("b").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp")).alias("most")).where("comps > 1")
+            parts = Stage(one.join(several, "b").select("b", "comp", "x.d", "x.c1", "comps", F.col("most.comp").alias("largest")), "parts")
+            g = F.xxhash64("b", F.pmod(F.xxhash64("d"), F.ceil(F.col("comps") / bucket)), F.lit(1))
+            more = not parts.df.isEmpty() and self.walk(parts.df.select("d", "c1", g.alias("g")))
+            if not more:
+                break
+            member.drop()
+            parts.drop()
+        left = member.df.join(parts.df.select("b", "largest").distinct(), "b").join(self.sketch, ["d", "c1"])
+        sizes = left.groupBy("b").agg(F.count("*").alias("n"), F.count_if(F.col("comp") != F.col("largest")).alias("q"))
+        blocks = lambda n: F.ceil(F.col(n) / bucket).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("d"), blocks(n)).cast("int")
+        sized = left.join(sizes, "b")
+        asking = sized.where("comp != largest").select("b", own("q").alias("i"), spread("n").alias("j"), F.lit(True).alias("query"), "d", "comp", "k")
+        asked = sized.select("b", spread("q").alias("i"), own("n").alias("j"), F.lit(False).alias("query"), "d", "comp", "k")
+        edges, _ = self.verify(asking.union(asked).groupBy("b", "i", "j").applyInArrow(_cross(self.m, self.threshold - self.margin), "u long, v long, sure boolean"))
+        for x in (edges, member, parts):
             x.drop()
-        more = failed.df.count() > (no.df.count() if no else 0)
-        if not more:
-            break
-        no = failed
-        again = no.df.join(shared.select(F.col("d").alias("u"), "b"), "u").join(shared.select(F.col("d").alias("v"), "b"), ["v", "b"]).select("b").distinct()
-        both = no.df.union(no.df.select("v", "u")).groupBy(F.col("u").alias("d")).agg(F.collect_list("v").alias("no"))
-        rows_ = shared.join(again, "b", "left_semi").join(reps.select("d", "k"), "d").join(both, "d", "left").select("d", "b", "k", "no")
-    # A doc_id of several texts is linked to the copies of each.
-    links = Stage(reduce(DataFrame.union, [x.df for x in alike]).union(copies.df.select("rep", "d")).distinct(), "links")
-    for x in (sk, copies, *alike, *stages):
-        x.drop()
-    label, _ = components(links.df)
-    out = d.select("d").distinct().join(label.select(F.col("node").alias("d"), "group"), "d", "left")
-    return out.select(F.col("d").alias("doc_id"), F.coalesce("group", "d").alias("group_id"), F.coalesce(F.col("group") == F.col("d"), F.lit(True)).alias("kept"))
 
 
-def _by(*cols: str):
-    from pyspark.sql import Window
+def near_duplicates(
+    docs: DataFrame, threshold: float = 0.5, m: int = 128, rows: int = 3, margin: float = 0.15, bucket: int = 4096, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, group_id (the smallest doc_id of its group), kept (doc_id = group_id), n_links; a row per doc_id.
 
-    return Window.partitionBy(*cols)
+    Documents are alike from a Jaccard similarity of ``threshold`` of their shingle sets on, or
+    when they have the same words.  A pair just as similar shares one of the m // ``rows`` bands with a
+    probability of 0.996, and is passed over where its estimate is under ``threshold`` - ``margin``.
+    ``n_links``: the verified links of a document, exact copies' ones to the first included;
+    those that others imply aren't looked for.  Texts without a word (null, empty) are alike to none.  Rows that
+    share a doc_id are one document, alike to whatever one of them is alike to.  Rows without a
+    doc_id are left out.  Other columns are ignored; empty tables give no rows.
+    """
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text")).where("d is not null")
+    made = d.mapInArrow(_sketch(m, rows), "d long, c1 long, c2 long, k binary, bands array<long>")
+    sk = Stage(made.groupBy("d", "c1", "c2").agg(F.first("k").alias("k"), F.first("bands").alias("bands")), "sketches")
+    first = sk.df.groupBy("c1", "c2").agg(F.min("d").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = Stage(sk.df.select("d", "c1", "c2").join(first, ["c1", "c2"]).where("d != rep"), "copies")
+    reps = only(sk.df, copies.df.select("d", "c1", "c2"), ["d", "c1", "c2"], how="left_anti")
+    each = reps.select("d", "c1", F.explode("bands").alias("b"))
+    sizes = each.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.when(F.col("n") <= bucket, F.col("b")).otherwise(F.xxhash64("b", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / bucket))))
+    shared = Stage(each.join(sizes, "b").withColumn("g", part), "shared")
+    joined = Joined(d, reps.select("d", "c1", "k"), threshold, m, margin)
+    joined.walk(shared.df.select("d", "c1", "g"))
+    hot = shared.df.where(F.col("n") > bucket).select("d", "c1", "b")
+    if not hot.isEmpty():
+        joined.apart(hot, bucket)
+    # A doc_id of several texts is linked to the copies of each.
+    links = Stage(joined.links().union(copies.df.select("rep", "d")).distinct(), "links")
+    for x in (sk, copies, shared, joined.compared, *joined.alike, *([joined.no] if joined.no else [])):
+        x.drop()
+    label, labels = components(links.df)
+    degree = links.df.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    out = d.select("d").distinct().join(label.join(degree, "node").withColumnRenamed("node", "d"), "d", "left")
+    out = out.select(F.col("d").alias("doc_id"), F.coalesce("group", "d").alias("group_id"), F.coalesce(F.col("group") == F.col("d"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return only_stage(out, "groups", links, labels)
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

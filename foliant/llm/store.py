@@ -78,8 +78,8 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def only(df: DataFrame, ids: DataFrame, on: str, most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
-    """The rows of ``df`` whose ``on`` (a long) is in ``ids``: wide rows stay where they are while
+def only(df: DataFrame, ids: DataFrame, on: str | list[str], most: int = 4_000_000, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``on`` (one long or a few) is in ``ids``: wide rows stay where they are while
     there are at most ``most`` ids, which are then broadcast; beyond that both sides are shuffled.
     ``how`` may also be ``left_anti``, or ``left`` for narrow columns of ``ids``."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, on, how)

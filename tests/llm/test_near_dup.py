@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import near_dup as n
@@ -44,7 +45,8 @@ def brute(rows, threshold):
     return {d: find(d) for d in group}, pairs
 
 
-def test_groups_match_brute_force(spark):
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_groups_match_brute_force(spark, bucket):
     rows, d = [], 0
     for size in (1, 2, 3, 40):
         for _ in range(12 if size < 40 else 1):
@@ -53,8 +55,9 @@ def test_groups_match_brute_force(spark):
                 rows.append((d, " ".join(edited(base, R.choice([0, 0.03, 0.06])))))
                 d += 1
     want, pairs = brute(rows, 0.5)
-    out = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()
     got = {r.doc_id: r.group_id for r in out}
+    assert all((r.n_links > 0) == (list(got.values()).count(r.group_id) > 1) for r in out)
     assert set(got) == set(want)
     found = sum(got[a] == got[b] for a, b in pairs)
     assert found >= 0.97 * len(pairs)
@@ -62,7 +65,8 @@ def test_groups_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.group_id) for r in out)
 
 
-def test_copies_of_one_original_are_linked_whatever_leads(spark):
+@pytest.mark.parametrize("bucket", [4096, 40])
+def test_copies_of_one_original_are_linked_whatever_leads(spark, bucket):
     base = prose(400)
     rows = [(150, " ".join(base))]
     for d in (*range(150), *range(151, 301)):
@@ -70,7 +74,7 @@ def test_copies_of_one_original_are_linked_whatever_leads(spark):
         rows.append((d, " ".join(f"own{d}" if i in new else w for i, w in enumerate(base))))
     want, pairs = brute(rows, 0.5)
     assert pairs == {(min(d, 150), max(d, 150)) for d, _ in rows if d != 150}  # the copies aren't alike to each other
-    got = {r.doc_id: r.group_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.group_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
     found = sum(got[a] == got[b] for a, b in pairs)
     assert found >= 0.97 * len(pairs), (found, len(pairs))
     assert all(want[a] == want[b] for a, b in got.items())
@@ -120,3 +124,25 @@ def test_sketches_merge_and_estimate():
     k = n.registers(rng.integers(0, 2**64 - 1, 5000, dtype=np.uint64), np.array([0, 5000]), 128)
     assert abs(n.cardinality(k)[0] / 5000 - 1) < 0.35
     assert (shingles(np.zeros(0, np.uint64), np.array([0, 0]), 3)[1] == [0, 0]).all()
+
+
+def test_pairs_just_over_the_threshold_are_found(spark):
+    """Of pairs with a similarity of 0.50 to 0.55 at least 99 in 100 are in one group."""
+    rows, close = [], []
+    for i in range(600):
+        w = prose(R.randint(120, 260))
+        v = list(w)
+        for at in R.sample(range(1, len(w) - 1, 4), int(len(w) * R.uniform(0.095, 0.12))):
+            v[at] = f"own{i}x{at}"
+        a, b = ({tuple(x[j : j + 3]) for j in range(len(x) - 2)} for x in (w, v))
+        if 0.5 <= len(a & b) / len(a | b) < 0.55:
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+            close.append(2 * i)
+    got = {r.doc_id: r.group_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(close) > 200 and np.mean([got[d] == got[d + 1] for d in close]) >= 0.99
+
+
+def test_a_hot_id_of_many_texts_and_rows(spark):
+    rows = [(1, " ".join(prose(30))) for _ in range(200)] + [(1, "a b c d e f")] * 300 + [(2, "a b c d e f"), (3, rows_ := " ".join(prose(40))), (4, rows_ + " z")]
+    got = {r.doc_id: (r.group_id, r.kept) for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (3, False)}

@@ -8,24 +8,41 @@ stands earlier.
 
 Winnowing: each window of ``window`` line hashes selects its smallest (the rightmost of equals),
 so two equal windows select the same line: any shared run of ``window`` lines has a common
-fingerprint.  Fingerprints that occur once are dropped; at the others the match is extended both
-ways over the windows that selected it, which travel with it, and every occurrence but the first
-of an extended window marks its lines.  Longer runs are the union of their windows, so the
-result is exact and no pair of positions is ever materialised.
+fingerprint.  A row is written for each selected position, 2 in ``window`` + 1 lines on average, with
+the lines around it as hashes of the windows that selected it.  Positions meet at their
+fingerprints; those whose fingerprint occurs once go.  Where positions met, the match is extended
+both ways over their windows, and every occurrence but the first of an equal window marks
+its lines; longer runs are the union of their windows.  No pair of positions is ever materialised.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import Stage
+from .store import Stage, long_id, only
+from .textkit import filled, pieces
+
+BLANK = " \t\r"
 
 
 def lines_of(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
+    """The lines that aren't blank."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
+
+
+def fingerprints(d: DataFrame, window: int) -> DataFrame:
+    """(d, t, n, s, p, runs) of each selected position of (d, t, text): n lines a window; s the selected line;
+    the windows that selected it start at p, p + 1, ..., and have the hashes ``runs``."""
+    keyed = d.select("d", "t", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).where("size(h) > 0")
+    sliced = keyed.select("d", "t", F.expr(f"transform(sequence(0, greatest(size(h) - {window}, 0)), p -> slice(h, p + 1, {window}))").alias("w"))
+    picked = sliced.select("d", "t", F.expr("transform(w, (x, p) -> struct(p + size(x) - array_position(reverse(x), array_min(x)) as at, array_min(x) as s, xxhash64(x) as r))").alias("w"), F.expr("size(w[0])").alias("n"))
+    heads = picked.select("d", "t", "n", "w", F.explode(F.expr("filter(sequence(0, size(w) - 1), i -> i = 0 or w[i].at != w[greatest(i - 1, 0)].at)")).alias("p"))
+    return heads.select("d", "t", "n", F.expr("w[p].s").alias("s"), "p", F.expr(f"transform(filter(slice(w, p + 1, {window}), x -> x.at = w[p].at), x -> x.r)").alias("runs"))
 
 
 def remove_repeated_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,32 +52,42 @@ def remove_repeated_lines(docs: DataFrame, window: int = 2, id_col: str = "doc_i
     one document, and each gives a row.  Null doc_ids are kept, and are equal to each other.  Other
     columns are ignored.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
-    keyed = d.withColumn("h", F.transform(F.filter(lines_of(F.col("text")), lambda x: x != ""), lambda x: F.xxhash64(x))).where("size(h) > 0")
-    windows = F.expr(f"transform(sequence(0, greatest(size(h) - {window}, 0)), p -> struct(p, slice(h, p + 1, {window}) as w))")
-    # w: the window around the selected line s, as a hash of its lines and their number.
-    fp = Stage(keyed.select("d", "t", F.explode(windows).alias("e")).select(
-        "d", "t", F.col("e.p").alias("p"), F.array_min("e.w").alias("s"), F.size("e.w").alias("n"), F.xxhash64("e.w").alias("w")), "fingerprints")
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text")).withColumn("t", F.xxhash64("text"))
+    fp = Stage(fingerprints(d, window), "fingerprints")
+    met = fp.df.groupBy("s").agg(F.count("*").alias("copies")).where("copies > 1").select("s")
+    runs = Stage(fp.df.join(met, "s").select("d", "t", "n", "p", F.posexplode("runs").alias("o", "w")).select("d", "t", "n", (F.col("p") + F.col("o")).alias("p"), "w"), "runs")
     place = F.struct("d", "t", "p")
-    first = fp.df.groupBy("s", "w", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    marks = fp.df.join(first, ["s", "w", "n"]).where(place != F.col("first"))
-    drop = marks.groupBy(F.col("d").alias("dd"), F.col("t").alias("tt")).agg(F.collect_set("p").alias("drop"))
-    marked = d.join(drop, d.d.eqNullSafe(drop.dd) & (d.t == drop.tt), "left").select("d", "text", "drop")
-    return marked.mapInArrow(_without(window), "doc_id long, text string, n_lines long, n_removed long")
+    first = runs.df.groupBy("w", "n").agg(F.min(place).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    marks = runs.df.join(first, ["w", "n"]).where(place != F.col("first"))
+    # x: d and t as one number; that others have the same only costs time.
+    drop = Stage(marks.groupBy(F.col("d").alias("dd"), F.col("t").alias("tt")).agg(F.collect_set("p").alias("drop")).withColumn("x", F.xxhash64("dd", "tt")), "drop")
+    fp.drop()
+    runs.drop()
+    keyed = d.withColumn("x", F.xxhash64("d", "t"))
+    ids = drop.df.select("x").distinct()
+    same = (keyed.x == drop.df.x) & keyed.d.eqNullSafe(drop.df.dd) & keyed.t.eqNullSafe(drop.df.tt)
+    marked = only(keyed, ids, "x").join(drop.df, same, "left").select("d", "text", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    rest = only(keyed, ids, "x", how="left_anti").select("d", "text", F.size(lines_of(F.col("text"))).cast("long"), F.lit(0).cast("long"))
+    return marked.mapInArrow(_without(window), "doc_id long, text string, n_lines long, n_removed long").union(rest)
 
 
 def _without(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, n_lines, n_removed = [], [], []
-            for text, drop in zip(b.column("text").to_pylist(), b.column("drop").to_pylist(), strict=True):
-                lines = (text or "").split("\n")
-                number = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
-                gone = {number[j] for p in drop or () for j in range(p, min(p + window, len(number)))}
-                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-                n_lines.append(len(number))
-                n_removed.append(len(gone))
-            yield pa.RecordBatch.from_arrays([b.column("d"), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+        for b in pieces(batches):
+            lines = pc.split_pattern(filled(b.column("text")), "\n")
+            flat, off = lines.flatten(), np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))])
+            place = np.flatnonzero(pc.binary_length(pc.ascii_trim(flat, BLANK)).to_numpy(zero_copy_only=False))
+            begin = np.searchsorted(place, off)
+            drop = b.column("drop")
+            row = np.repeat(np.arange(b.num_rows), drop.value_lengths().to_numpy(zero_copy_only=False))
+            at = begin[row][:, None] + drop.flatten().to_numpy()[:, None] + np.arange(window)
+            gone = np.zeros(len(flat), bool)
+            gone[place[at[at < begin[row + 1][:, None]]]] = True
+            left = np.concatenate([[0], np.cumsum(~gone)])[off]
+            kept = pa.ListArray.from_arrays(pa.array(left, pa.int32()), flat.filter(pa.array(~gone)))
+            removed = np.diff(off) - np.diff(left)
+            text = pc.if_else(pc.is_null(b.column("text")), pa.scalar(None, pa.string()), pc.binary_join(kept, "\n"))
+            yield pa.RecordBatch.from_arrays([b.column("d"), text, pa.array(np.diff(begin)), pa.array(removed)], ["doc_id", "text", "n_lines", "n_removed"])
 
     return run
 

@@ -63,3 +63,18 @@ def test_odd_rows(spark):
     assert order(got) == order(brute([r[:2] for r in rows], 2))
     assert [r[3] for r in got if r[0] == 1] == [2, 2] and [r[1:] for r in got if r[0] == 2] == [(None, 0, 0)]
     assert line_dedup.remove_repeated_lines(df.limit(0)).collect() == []
+
+
+def test_a_row_is_written_for_each_selected_position_only(spark):
+    """About 2 of window + 1 windows have a position of their own, and all windows travel with one."""
+    texts = [(d, "\n".join(f"{d} {R.random()}" for _ in range(200))) for d in range(20)]
+    d = spark.createDataFrame(texts, "d long, text string").selectExpr("*", "xxhash64(text) as t")
+    for window, share in ((1, 1.0), (2, 2 / 3), (4, 2 / 5), (8, 2 / 9)):
+        rows, windows = line_dedup.fingerprints(d, window).selectExpr("count(*)", "sum(size(runs))").first()
+        assert windows == 20 * (200 - window + 1) and rows <= windows and abs(rows / windows - share) < 0.05
+
+
+def test_texts_without_deletions_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, "a\nb"), (3, "c")], "doc_id long, text string")
+    plan = line_dedup.remove_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and plan.count("SortMergeJoin") <= 1

@@ -18,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .store import only
+from .store import long_id, smallest
 from .textkit import Words, pieces, ragged, reduce_sum
 
 BUCKETS = 1 << 16
@@ -58,10 +58,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, train_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order, and log-probabilities: a row per bucket, a column per language."""
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("d is not null and lang is not null and length(text) > 0")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("d"), "d"))
-    ids = d.select("d", "lang").withColumn("k", nth).where(F.col("k") <= train_rows).select("d").distinct()
-    rows = only(d, ids, "d").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("d is not null and lang is not null and length(text) > 0")
+    ids = smallest(d.select("lang", "d"), train_rows, "lang")
+    # One text of an id and language, however often they come; ids: at most `train_rows` for each language.
+    some = d.join(F.broadcast(ids), ["lang", "d"]).groupBy("lang", "d").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = some.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     n = np.zeros((BUCKETS, len(langs)))
     if langs:
@@ -138,8 +139,10 @@ def language_mixtures(docs: DataFrame, penalty: float = 3.0, train_rows: int = 2
 
     Texts without a word (null, empty) have no language: null, and empty lists.  Rows without an
     id, a language or a text aren't trained on, but are identified.  Without any labelled row no
-    text has a language.  Repeated rows each give a row; other columns are ignored.
+    text has a language.  Of an id's texts of one language one is trained on.  Languages of equal
+    shares come in the order of their names, as the best of equal single ones does.  Repeated rows
+    each give a row; other columns are ignored.
     """
     langs, table = train(docs, train_rows, id_col, text_col, lang_col)
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text"))
     return d.mapInArrow(_identify(langs, table, penalty), "doc_id long, lang string, langs array<string>, shares array<double>, n_words long")

@@ -67,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_decontamination": decontam.ORACLE_SQL,
+    "op9_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }

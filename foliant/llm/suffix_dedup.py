@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .store import Stage, only
+from .store import Stage, long_id, only, only_stage
 from .textkit import SPACED, Words, mix, pieces, ragged, reduce_sum, shingles, signed
 
 GRAM = 8
@@ -229,11 +229,11 @@ def repeated_passages(docs: DataFrame, min_tokens: int = 45, id_col: str = "doc_
     """
     if min_tokens < max(V, GRAM) + 1:
         raise ValueError(f"min_tokens must be over {max(V, GRAM)}")
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text")).where("d is not null").withColumn("t", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    anchors = Stage(d.mapInArrow(_anchors(min_tokens), "g long, d long, t long, a int, lo int, n int"), "anchors").df
-    many = anchors.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    hits = anchors.join(many, "g").distinct().groupBy("d", "t").agg(F.collect_list(F.struct("g", "a", "lo", "n")).alias("hits"))
-    hits = Stage(hits, "hits").df
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text")).where("d is not null").withColumn("t", F.coalesce(F.xxhash64("text"), F.lit(0)))
+    anchors = Stage(d.mapInArrow(_anchors(min_tokens), "g long, d long, t long, a int, lo int, n int"), "anchors")
+    many = anchors.df.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    hits = anchors.df.join(many, "g").distinct().groupBy("d", "t").agg(F.collect_list(F.struct("g", "a", "lo", "n")).alias("hits"))
+    hits = only_stage(hits, "hits", anchors)
     # Rows equal in doc_id and text meet again below, where all but one are passed over.
     texts = only(d, hits.select("d").distinct(), "d").join(hits, ["d", "t"]).select("d", "t", "text", "hits")
     segments = texts.mapInArrow(_segments(min_tokens), "g long, s long, d long, t long, lo int, n int, rel int, seg binary")
@@ -243,3 +243,14 @@ def repeated_passages(docs: DataFrame, min_tokens: int = 45, id_col: str = "doc_
     part = F.sum(F.when(F.col("start") > F.coalesce(far, F.lit(-1)), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     merged = found.withColumn("part", part).groupBy("d", "t", "later", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return merged.select(F.col("d").alias("doc_id"), "start", "end", (F.col("end") - F.col("start")).alias("n_tokens"), (~F.col("later")).alias("kept"))
+
+
+#: The same rows from the definition: all windows of 45 tokens.
+ORACLE_SQL = r"""
+with tokens as (select doc_id as d, regexp_extract_all(text, '[\x{3000}-\x{10FFFF}]|[^\x00-\x20\x{3000}-\x{10FFFF}]+') as w from documents where doc_id is not null),
+windows as (select d, unnest(range(0, len(w) - 44)) as p, unnest([hash(w[j + 1 : j + 45]) for j in range(0, len(w) - 44)]) as h from tokens where len(w) >= 45),
+numbered as (select d, p, row_number() over (partition by h order by d, p) > 1 as later, count(*) over (partition by h) as n from windows),
+marked as (select d, p, later, p - lag(p) over (partition by d, later order by p) > 45 as gap from numbered where n > 1),
+spans as (select d, p, later, sum(case when coalesce(gap, true) then 1 else 0 end) over (partition by d, later order by p rows unbounded preceding) as span from marked)
+select d as doc_id, min(p) as start, max(p) + 45 as "end", max(p) + 45 - min(p) as n_tokens, not later as kept from spans group by d, later, span
+"""

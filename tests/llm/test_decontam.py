@@ -54,3 +54,15 @@ def test_odd_rows(spark):
     assert got == {(1, 0, 1.0, 0), (3, 3, 1.0, 0)}
     assert decontam.leaks(docs.limit(0), items).collect() == []
     assert decontam.leaks(docs, items.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_the_filter_leaves_out_what_leaks(spark, limit):
+    item = "one two three four five six seven"
+    rows = [(1, "x " + item), (1, "clean text"), (2, "clean text"), (None, item), (3, None), (3, ""), (4, item), (5, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, body string").selectExpr("*", "1 as text", "2 as leaking", "3 as d")
+    bench = spark.createDataFrame([(0, item)], "item_id long, question string")
+    out = decontam.without_leaks(docs, bench, max_lookup=limit, text_col="body", item_text_col="question")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.body or "") for r in out.collect()) == [(0, item), (2, "clean text"), (3, ""), (3, ""), (5, "other")]
+    assert decontam.without_leaks(docs.limit(0), bench, max_lookup=limit, text_col="body", item_text_col="question").collect() == []

@@ -3,8 +3,10 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import langid as g
+from foliant.llm.store import smallest
 
 R = random.Random(4)
 ROOTS = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "ber", "ein"], "cc": ["eau", "oui", "ère", "çon"]}
@@ -71,3 +73,19 @@ def test_odd_rows(spark):
     assert (0, "aa", 9) in got and (1, "bb", 9) in got and (6, "bb", 60000) in got
     assert g.language_mixtures(docs.limit(0)).collect() == []
     assert all(r.lang is None for r in g.language_mixtures(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect())
+
+
+def test_ties_are_in_the_order_of_names():
+    ll = np.log(np.tile([[0.3, 0.3, 0.1]], (5, 1))).astype(np.float32)
+    assert g.identify(ll, np.array([0, 5]), 3.0).tolist() == [[1, 0, 0]]
+
+
+def test_training_takes_the_smallest_hashes_without_sorting_the_corpus(spark):
+    rows = [(d % 50, prose(lang, 5), lang) for d, lang in enumerate(["aa"] * 400 + ["bb"] * 9)] + [(7, "ka", "aa")] * 300
+    docs = spark.createDataFrame(rows, "d long, text string, lang string")
+    got = sorted((r.lang, r.d) for r in smallest(docs.select("lang", "d"), 12, "lang").collect())
+    ids = docs.select("lang", "d").distinct().withColumn("h", F.xxhash64("d")).toPandas().sort_values(["h", "d"])
+    want = sorted((lang, int(d)) for lang in ("aa", "bb") for d in ids[ids["lang"] == lang].head(12)["d"])
+    assert got == want and len(want) == 12 + 9
+    assert smallest(docs.where("false").select("lang", "d"), 12, "lang").collect() == []
+    assert sorted(r.d for r in smallest(docs.select("d"), 12).collect()) == sorted(int(d) for d in ids.drop_duplicates("d").head(12)["d"])

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 
 from foliant.llm import token_counts, token_ids as t
@@ -53,7 +54,13 @@ def test_packed_ids_decode_to_the_encoders(spark, docs):
 def test_counts_are_the_encoders(spark, docs, most):
     enc = t.encoder(RANKS, t.PATTERN)
     rows = spark.createDataFrame([*docs, (None, "null id"), (None, "and more"), (3, "again")], "doc_id long, text string").selectExpr("*", "1 as piece", "2 as k")
-    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows, most=most).collect()}
+    out = token_counts.token_counts(rows, most=most).collect()
+    got = {r.doc_id: r.n_tokens for r in out}
+    split = regex.compile(t.PATTERN).findall
+    pre = {d: len(split(x or "")) for d, x in docs}
+    pre[3] += len(split("again"))
+    pre[None] = sum(len(split(x)) for x in ("null id", "and more"))
+    assert {r.doc_id: r.n_pretokens for r in out} == pre
     want = {d: len(enc.encode_ordinary(x or "")) for d, x in docs}
     want[3] += len(enc.encode_ordinary("again"))
     want[None] = sum(len(enc.encode_ordinary(x)) for x in ("null id", "and more"))

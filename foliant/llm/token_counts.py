@@ -1,15 +1,13 @@
 """Token counts without ids: pieces are counted once per distinct pre-token.
 
-1. Texts are split once into pre-tokens (matches of the tokenizer's pattern), by the JVM's regular
-   expressions, and counted per document: (d, piece, f), a written table.
+1. Pre-tokens (matches of the tokenizer's pattern) are counted over all documents.
 2. Each distinct pre-token is encoded once, for its number of pieces.
 3. Documents' pre-token frequencies are joined with these numbers and summed.
 
-The JVM's Unicode tables may be older than the tokenizer's: texts with a character that the JVM takes
-as unassigned are split in Python.
+Texts are split twice: a written table of all frequencies takes more disk than the texts.
 
 The join has two ways.  At most ``most`` of the most frequent pre-tokens are broadcast (a bounded table,
-whatever the data), so that no frequent one is a hot key; all others are shuffled and joined with the whole table.
+whatever the data); frequencies of all others are shuffled and joined with the whole table.
 """
 
 from __future__ import annotations
@@ -18,26 +16,34 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import Stage, long_id, only_stage
-from .textkit import pieces
+from .textkit import filled, pieces
 from .token_ids import PATTERN, RANKS, encoder
 
+#: Distinct pre-tokens that a task holds at most before it hands them on.
+HELD = 400_000
 
-def _split(pattern: str):
+
+def _pre_tokens(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
+        split = regex.compile(pattern).findall
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+
         for b in pieces(batches):
-            ids, found, n = [], [], []
-            for d, t in zip(b.column("d").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts = Counter(find(t))
-                ids += [d] * len(counts)
-                found += counts
-                n += counts.values()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["d", "piece", "f"])
+            for t in filled(b.column("text")).to_pylist():
+                seen.update(split(t))
+            if len(seen) > HELD:
+                yield out()
+                seen.clear()
+        yield out()
 
     return run
 
@@ -52,12 +58,29 @@ def _count(ranks, pattern: str):
     return run
 
 
-def frequencies(d: DataFrame, pattern: str = PATTERN) -> DataFrame:
-    """(d, piece, f): how often each pre-token is in the rows of each d of (d, text)."""
-    odd = F.col("text").rlike(r"\p{Cn}")
-    each = F.explode(F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0)))
-    plain = d.where(~odd).select("d", each.alias("piece"), F.lit(1).cast("long").alias("f"))
-    return plain.union(d.where(odd).mapInArrow(_split(pattern), "d long, piece string, f long")).groupBy("d", "piece").agg(F.sum("f").alias("f"))
+def _sum(known, pattern: str):
+    """(d, piece, f, k): of each document the pre-tokens f and tokens k of known ones, piece null; and its unknown pre-tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split, table = regex.compile(pattern).findall, dict(zip(*known.value, strict=True))
+        for b in pieces(batches):
+            ids, found, f, k = [], [], [], []
+            for d, t in zip(b.column("d").to_pylist(), filled(b.column("text")).to_pylist(), strict=True):
+                counts = Counter(split(t))
+                for p in set(counts).difference(table):
+                    ids.append(d)
+                    found.append(p)
+                    f.append(counts.pop(p))
+                    k.append(None)
+                ids.append(d)
+                found.append(None)
+                f.append(sum(counts.values()))
+                k.append(sum(map(int.__mul__, counts.values(), map(table.__getitem__, counts))))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(f, pa.int64()), pa.array(k, pa.int64())], ["d", "piece", "f", "k"])
+
+    return run
 
 
 def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, most: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,8 +93,7 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, mo
     with open(ranks, "rb") as f:
         content = spark.sparkContext.broadcast(f.read())  # the size of the vocabulary, whatever the data
     d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text"))
-    each = Stage(frequencies(d, pattern), "frequencies")
-    seen = each.df.groupBy("piece").agg(F.sum("f").alias("n"))
+    seen = d.select("text").mapInArrow(_pre_tokens(pattern), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = Stage(seen.mapInArrow(_count(content, pattern), "piece string, n long, k long"), "pretokens")
     # The most frequent: all from a step of a scale of frequencies on, so that nothing is sorted.
     scaled = vocabulary.df.withColumn("step", F.floor(F.log2("n") * 8))
@@ -82,10 +104,10 @@ def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, mo
         if held > most:
             break
         least = step
-    top = scaled.where(F.col("step") >= least).select("piece", "k")  # at most `most`
-    known = each.df.join(F.broadcast(top), "piece")
-    rest = each.df.join(F.broadcast(top), "piece", "left_anti").join(scaled.where(F.col("step") < least).select("piece", "k"), "piece")
-    none = d.select("d", F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("k"))
-    parts = known.union(rest).select("d", "f", (F.col("f") * F.col("k")).alias("k")).union(none)
-    out = parts.groupBy(F.col("d").alias("doc_id")).agg(F.sum("f").alias("n_pretokens"), F.sum("k").alias("n_tokens"))
+    top = scaled.where(F.col("step") >= least).select("piece", "k").toArrow()
+    known = spark.sparkContext.broadcast((top["piece"].to_pylist(), pc.cast(top["k"], pa.int64()).to_pylist()))  # at most `most`
+    each = Stage(d.mapInArrow(_sum(known, pattern), "d long, piece string, f long, k long"), "frequencies")
+    rest = each.df.where("piece is not null").select("d", "piece", "f").join(vocabulary.df.select("piece", F.col("k").alias("pieces")), "piece")
+    rest = rest.groupBy("d").agg(F.sum("f").alias("f"), F.sum(F.col("f") * F.col("pieces")).alias("k"))
+    out = each.df.where("piece is null").select("d", "f", "k").unionByName(rest).groupBy(F.col("d").alias("doc_id")).agg(F.sum("f").alias("n_pretokens"), F.sum("k").alias("n_tokens"))
     return only_stage(out, "token-counts", each, vocabulary)

@@ -118,3 +118,26 @@ def parse_id_list(c: Column) -> Column:
     """Comma-separated ids, with or without brackets around."""
     parts = F.transform(F.split(F.regexp_replace(c, r"[\[\]]", ""), r"\s*,\s*"), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
+
+
+def put_field(fields: Column, key: Column, value: Column) -> Column:
+    """A map with one more entry, which replaces one of the same key; a NULL map counts as empty, and a NULL key changes nothing."""
+    old = F.coalesce(fields, F.from_json(F.lit("{}"), "map<string,string>"))
+    new = F.map_concat(F.map_filter(old, lambda k, _: k != key), F.create_map(key, value))
+    return F.when(key.isNull(), old).otherwise(new)
+
+
+def fields_or_empty(fields: Column) -> Column:
+    """The map, empty for NULL."""
+    return F.coalesce(fields, F.from_json(F.lit("{}"), "map<string,string>"))
+
+
+def record_text(title: Column, authors: Column, year: Column, source: Column) -> Column:
+    """A record in one line, for people."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return F.format_string("%s (%s). %s [%s]", F.coalesce(F.array_join(authors, ", "), F.lit("-")), shown(year), shown(title), shown(source))
+
+
+def display_name(source: Column) -> Column:
+    """A source's name as shown."""
+    return F.when(source == "OPENALEX", "OpenAlex").when(source == "UNKNOWN", "Unknown").otherwise(source)

@@ -19,22 +19,27 @@ def by_year_and_title(records: DataFrame) -> DataFrame:
     return records.orderBy("year", F.lower("title"), "ord")
 
 
-def positioned(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
-    """A column with each row's place (from 0) in a total order, without a single-partition window.
+def placed(df: DataFrame, name: str = "pos") -> DataFrame:
+    """A column with each row's place (from 0) in the order that ``df`` has, over partitions and within them.
 
-    Rows are range-partitioned and sorted; a row's place is that in its partition plus the sizes
-    of the partitions before.  The sorted rows are persisted, so that both uses see the same ranges.
+    A row's place is that in its partition plus the sizes of the partitions before.  The rows are
+    persisted, so that both uses see the same ones, until the session's cache is cleared.
     """
     from pyspark import StorageLevel
 
     at = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.withColumn("__at", at).persist(StorageLevel.MEMORY_AND_DISK)
     part = F.shiftright("__at", 33)
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
     starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    placed = ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    return placed.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__start")
+    found = kept.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return found.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__start")
+
+
+def positioned(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
+    """A column with each row's place (from 0) in a total order, without a single-partition window."""
+    return placed(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
 
 
 def benchmark_report(times: DataFrame, size: int) -> DataFrame:

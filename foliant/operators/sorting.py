@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 WIDTH = 16
 
 
-def _arrays(df: DataFrame, sort: Callable[[Column], Column], width: int = WIDTH) -> DataFrame:
-    """Values collected by ranges of ``width``, each range sorted as an array, ranges in order."""
-    ranges = df.groupBy(F.floor(F.col("value") / width).alias("range")).agg(F.collect_list("value").alias("a"))
-    return ranges.orderBy("range").select(F.explode(sort(F.col("a"))).alias("value"))
+def _arrays(df: DataFrame, sort: Callable[[Column], Column]) -> DataFrame:
+    """Distinct values by ranges of ``WIDTH``, each range sorted as an array of (value, n), ranges in order.
+
+    No array has more than ``WIDTH`` elements, however often a value occurs."""
+    pair = F.struct("value", "n")
+    ranges = _counted(df).groupBy(F.floor(F.col("value") / WIDTH).alias("range")).agg(F.collect_list(pair).alias("a"))
+    each = ranges.orderBy("range").select(F.explode(sort(F.col("a"))).alias("x"))
+    return each.select("x.value", F.explode(F.sequence(F.lit(1), "x.n")).alias("i")).select("value")
 
 
 def _counted(df: DataFrame) -> DataFrame:
@@ -64,17 +68,30 @@ def _quick(df: DataFrame) -> DataFrame:
 
 
 def _heap(df: DataFrame) -> DataFrame:
-    return _arrays(df, lambda a: F.array_sort(a, lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0)))
+    return _arrays(df, lambda a: F.array_sort(a, lambda x, y: F.when(x.value < y.value, -1).when(x.value > y.value, 1).otherwise(0)))
 
 
 def _bitonic(df: DataFrame) -> DataFrame:
-    """Two halves, one ascending and one descending, merged."""
+    """The bitonic network over ``WIDTH`` places, filled up with values larger than any."""
+    steps = [(k, j) for k in (2, 4, 8, 16) for j in (8, 4, 2, 1) if j < k]
+    network = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(j).alias("j")) for k, j in steps))
+
+    def step(a: Column, s: Column) -> Column:
+        def place(i: Column) -> Column:
+            other = i.bitwiseXOR(s.j)
+            small = (i < other) == (i.bitwiseAND(s.k) == 0)
+            x, y = F.get(a, i), F.get(a, other)
+            return F.when(small, F.least(x, y)).otherwise(F.greatest(x, y))
 
-    def merge(a: Column) -> Column:
-        half = F.floor(F.size(a) / 2).cast("int")
-        return F.array_sort(F.concat(F.sort_array(F.slice(a, 1, half)), F.sort_array(F.slice(a, half + 1, F.size(a)), asc=False)))
+        return F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), place)
 
-    return _arrays(df, merge)
+    def sort(a: Column) -> Column:
+        wide = F.transform(a, lambda x: F.struct(x.value.cast("long").alias("value"), x.n.alias("n")))
+        most = F.struct(F.lit(1 << 40).alias("value"), F.lit(0).cast("long").alias("n"))
+        done = F.aggregate(network, F.concat(wide, F.array_repeat(most, F.lit(WIDTH) - F.size(a))), step)
+        return F.transform(F.filter(done, lambda x: x.n > 0), lambda x: F.struct(x.value.cast("int").alias("value"), x.n.alias("n")))
+
+    return _arrays(df, sort)
 
 
 def _gnome(df: DataFrame) -> DataFrame:
@@ -82,12 +99,23 @@ def _gnome(df: DataFrame) -> DataFrame:
 
 
 def _binary_insertion(df: DataFrame) -> DataFrame:
-    """Each value put behind those not larger, and before the others."""
+    """Each value inserted at the place that a binary search among those before it finds."""
+
+    def half(lo: Column, hi: Column) -> Column:
+        return F.floor((lo + hi) / 2).cast("int")
 
     def put(done: Column, x: Column) -> Column:
-        return F.concat(F.filter(done, lambda y: y <= x), F.array(x), F.filter(done, lambda y: y > x))
+        def look(s: Column, _: Column) -> Column:
+            mid = half(s.lo, s.hi)
+            above, open_ = F.get(done, mid).value <= x.value, s.lo < s.hi
+            lo = F.when(open_ & above, mid + 1).otherwise(s.lo)
+            return F.struct(lo.alias("lo"), F.when(open_ & ~above, mid).otherwise(s.hi).alias("hi"))
 
-    return _arrays(df, lambda a: F.aggregate(a, F.array().cast("array<int>"), put), width=1)
+        start = F.struct(F.lit(0).alias("lo"), F.size(done).alias("hi"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(WIDTH.bit_length())), start, look, lambda s: s.lo)
+        return F.concat(F.slice(done, F.lit(1), at), F.array(x), F.slice(done, at + 1, F.size(done)))
+
+    return _arrays(df, lambda a: F.aggregate(a, F.slice(a, 1, 0), put))
 
 
 def _radix(df: DataFrame) -> DataFrame:
@@ -116,6 +144,10 @@ def sort_by(df: DataFrame, name: str) -> DataFrame:
     return STRATEGIES[name][1](df.select(F.col("value").cast("int").alias("value")))
 
 
+def milliseconds(nanoseconds: Column) -> Column:
+    return nanoseconds / 1_000_000.0
+
+
 def random_ints(spark: SparkSession, n: int, seed: int, below: int = 100_000) -> DataFrame:
     return spark.range(n).select(F.floor(F.rand(seed) * below).cast("int").alias("value"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,22 @@ OPENALEX_PAGE = json.dumps({"results": [
     {"id": "W4", "display_name": None},
     {"id": "W5", "display_name": ""},
 ]})
+#: What ``offline`` has: 2,300 hits of one API, 650 works of each concept or search of the other.
+HITS, WORKS = 2300, 650
+
+
+def offline(url: str) -> str:
+    """A page of either API, made up from its URL: for scans without a network."""
+    q = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+    if "dblp" in url:
+        rows = range(int(q["f"]), min(HITS, int(q["f"]) + int(q["h"])))
+        return json.dumps({"result": {"hits": {"hit": [{"info": {"key": f"{q['q']}/{i}", "title": f"Hit {i}.", "year": str(2000 + i % 25), "doi": f"10.1/{i}"}} for i in rows]}}})
+    n, page = int(q["per_page"]), int(q["page"])
+    what = q.get("filter", "").removeprefix("concepts.id:") or q.get("search", "")
+    rows = range((page - 1) * n, min(WORKS, page * n))
+    return json.dumps({"results": [{"id": f"{what}/{i}", "display_name": f"Work {i}", "publication_year": 2000 + i % 25, "doi": f"https://doi.org/10.2/{i}"} for i in rows]})
+
+
 #: Milliseconds of twelve sorts, as text; with rows that the report passes over.
 TIMES = [(m, "50000", x) for m, x in (("Tim", "2.274"), ("Comb", "4.065"), ("Selection", "953.159"), ("Tree", "14.497"), ("Pigeonhole", "2.729"), ("Bucket", "8.741"), ("Quick", "3.089"), ("Heap", "5.201"), ("Bitonic", "13.605"), ("Gnome", "1568.228"), ("Binary Insertion", "63.231"), ("Radix", "3.125"))]
 TIMES += [("Tim", "5000", "2.0282"), ("Bad", "50000", "n/a"), ("Zero", "50000", "0"), ("None", "50000", None), ("Odd", "many", "3")]

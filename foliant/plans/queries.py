@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.functions import text as t, variant as v
 from foliant.operators import analytics, dedup, similarity, sorting
-from foliant.sources import records as io, shapes
+from foliant.sources import api, records as io, shapes
 
 from . import literals
 from .views import author_pairs, records, table
@@ -205,6 +205,27 @@ def openalex_shape_strict(spark, sf_dir):
     return _shaped(shapes.openalex_records(literals.frame(spark, [(literals.OPENALEX_PAGE,)], "body string"), "strict"))
 
 
+def _scanned(spark: SparkSession, **options: str) -> DataFrame:
+    pages = api.pages(spark, fetcher="foliant.plans.literals:offline", pause=0, **options)
+    found = shapes.dblp_records(pages) if options["source"] == "dblp" else shapes.openalex_records(pages)
+    return found.select("id", "title", "year", "doi", "source")
+
+
+@query
+def dblp_scan(spark, sf_dir):
+    return _scanned(spark, source="dblp", query="generative ai", max=2500)
+
+
+@query
+def openalex_concept_scan(spark, sf_dir):
+    return _scanned(spark, source="openalex", query="not asked for", concepts="[C1, C2]", max=1000)
+
+
+@query
+def openalex_text_scan(spark, sf_dir):
+    return _scanned(spark, source="openalex", query="generative ai", max=500)
+
+
 @query
 def sample_records(spark, sf_dir):
     return _shaped(io.union_sources([io.samples(spark, s) for s in ("DBLP", "OPENALEX")]))
@@ -238,7 +259,7 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sort_query(name: str) -> Query:
     def run(spark, sf_dir):
-        return analytics.positioned(sorting.sort_by(_keys(spark, sf_dir), name), "value").select("pos", "value")
+        return analytics.placed(sorting.sort_by(_keys(spark, sf_dir), name)).select("pos", "value")
 
     return run
 
@@ -248,7 +269,7 @@ QUERIES |= {f"sort_{name}": _sort_query(name) for name in sorting.STRATEGIES}
 
 @query
 def distinct_sort(spark, sf_dir):
-    return analytics.positioned(sorting.distinct_sorted(_keys(spark, sf_dir)), "value").select("pos", "value")
+    return analytics.placed(sorting.distinct_sorted(_keys(spark, sf_dir))).select("pos", "value")
 
 
 @query

@@ -14,7 +14,6 @@ _TYPES = {
 FIELDS = {name: kind for kind, names in _TYPES.items() for name in names.split()}
 #: ``ord``: the place in the input, which decides ties.
 RECORD_DDL = "ord long, " + ", ".join(f"{n} {k}" for n, k in sorted(FIELDS.items()))
-DISPLAY_NAMES = {"DBLP": "DBLP", "OPENALEX": "OpenAlex", "UNKNOWN": "Unknown"}
 
 
 def as_records(df: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import colorsys
+import os
+from datetime import datetime
 from html import escape
 
 from pyspark.sql import DataFrame
@@ -30,9 +32,29 @@ def benchmark_chart(times: DataFrame, size: int) -> str:
     return svg_bars(benchmark_report(times, size), "method", "time_ms", f"Sorting {size} integers (ms)")
 
 
-def report(stats: DataFrame, status: str = "COMPLETED") -> str:
+def save_benchmark_chart(times: DataFrame, size: int, folder: str) -> str | None:
+    """The chart as ``benchmark_general_<size>.svg`` in a folder, and its path; None where that size isn't there."""
+    chart = benchmark_chart(times, size)
+    if not chart.startswith("<svg"):
+        return None
+    path = os.path.join(folder, f"benchmark_general_{size}.svg")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(chart)
+    return path
+
+
+def report(stats: DataFrame, status: str = "COMPLETED", started: datetime | None = None, ended: datetime | None = None, authors: DataFrame | None = None, times: DataFrame | None = None) -> str:
+    """What a run came to: its statistics and, where given, its times, the author ranking and the timings of sorts."""
     r = stats.first()
-    return "\n".join([
+    lines = [
         f"status: {status}", f"records: {r.total_records}", f"unique: {r.unique_records}", f"duplicates: {r.duplicates_found}",
         f"from DBLP: {r.dblp_records}", f"from OpenAlex: {r.openalex_records}", f"duplicates in percent: {r.duplicate_percentage:.2f}%",
-    ])
+    ]
+    lines += [f"{name}: {at:%Y-%m-%d %H:%M:%S}" for name, at in (("started", started), ("ended", ended)) if at]
+    if started and ended:
+        lines.append(f"seconds: {(ended - started).total_seconds():.3f}")
+    if authors is not None:
+        lines += ["top authors:", *(f"{k}. {a.author}: {a.appearances}" for k, a in enumerate(authors.collect(), 1))]  # a ranking is short
+    if times is not None:
+        lines += ["sorts:", *(f"{t['method']}: {t['time_ms']:.4f} ms" for t in times.collect())]
+    return "\n".join(lines)

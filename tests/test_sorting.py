@@ -16,6 +16,24 @@ def test_strategies_sort(spark, name):
         assert got == sorted(a)
 
 
+@pytest.mark.parametrize("name", sorting.STRATEGIES)
+def test_places_are_the_strategys_own(spark, monkeypatch, name):
+    """A strategy that doesn't sort gets places that aren't the values' order."""
+    a = [R.randrange(-500, 500) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in a], "value int").repartition(3)
+    order = lambda: [r.value for r in sorted(analytics.placed(sorting.sort_by(df, name)).collect(), key=lambda r: r.pos)]
+    assert order() == sorted(a)
+    monkeypatch.setitem(sorting.STRATEGIES, name, ("", lambda x: x))
+    assert order() != sorted(a)
+
+
+def test_a_hot_value_is_no_array(spark):
+    df = spark.range(200_000).selectExpr("cast(if(id % 3 = 0, 7, id % 40) as int) as value")
+    want = sorted(r.value for r in df.collect())
+    for name in ("binary_insertion", "bitonic", "comb", "heap", "gnome"):
+        assert [r.value for r in sorting.sort_by(df, name).collect()] == want
+
+
 def test_positions(spark):
     for a in ARRAYS:
         df = spark.createDataFrame([(x, i) for i, x in enumerate(a)], "value int, i int").repartition(3)

@@ -90,6 +90,12 @@ def test_a_whole_run(spark, tmp_path):
     assert "duplicates in percent: 100.00%" in charts.report(result.stats)
     assert run.process(spark, [as_records(spark.createDataFrame([], "ord long"))], str(tmp_path / "none")).message == "no records"
     assert run.process(spark, [spark.range(1)]).status == "FAILED"
+    text = charts.report(result.stats, result.status, result.started, result.ended, analytics.top_authors(result.unique), spark.createDataFrame([("radix", 1.25)], "method string, time_ms double"))
+    assert "seconds: " in text and "1. Brown, A.: 1" in text and "radix: 1.2500 ms" in text
+    assert (tmp_path / "out/top_authors.csv").read_text().splitlines()[0] == "Autor,Apariciones"
+    result.release()
+    with pytest.raises(run.DataProcessingError):
+        run.process(spark, frames, semantics="other")
 
 
 def test_charts(spark):
@@ -133,3 +139,22 @@ def test_entry(spark):
     assert {"dedup_stats", "sort_radix", "jaccard_pairs"} <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 1 and set(QUERIES) <= set(e.queries())
     assert "ord long" in RECORD_DDL and json.loads(literals.DBLP_PAGE)
+
+
+def test_a_failed_scan_falls_back_to_files(spark, tmp_path):
+    (tmp_path / "dblp_generative_ai.csv").write_text("ID,Title,Year,Source\nx,From a file,2024,dblp\n")
+    with pytest.warns(UserWarning, match="come from files"):
+        got = records.from_source(spark, "DBLP", str(tmp_path), query="q", max="many", fetcher=FETCH, pause="0")
+    assert [r.title for r in got.collect()] == ["From a file"]
+
+
+def test_times_files(spark, tmp_path):
+    (tmp_path / "new.csv").write_text("M,C,T,ns,ms\nTim,O(n log n),50000,2274100,2.274\nBad,O(1),x,,n/a\n")
+    got = records.read_times(spark, str(tmp_path / "new.csv"))
+    assert [tuple(r) for r in got.collect()] == [("Tim", "O(n log n)", 50000, 2274100, 2.274), ("Bad", "O(1)", None, None, None)]
+    (tmp_path / "old.csv").write_text("Metodo,Tamano,Tiempo\nTim,5000,2,0282\nComb,5000,2.5\n")
+    assert [tuple(r) for r in records.read_legacy_times(spark, str(tmp_path / "old.csv")).collect()] == [("Tim", 5000, 2.0282), ("Comb", 5000, 2.5)]
+    records.write_times(got, str(tmp_path / "out.csv"))
+    assert (tmp_path / "out.csv").read_text().splitlines()[1] == "Tim,50000,2.274"
+    assert charts.save_benchmark_chart(got, 50000, str(tmp_path)).endswith("benchmark_general_50000.svg") and (tmp_path / "benchmark_general_50000.svg").exists()
+    assert charts.save_benchmark_chart(got, 7, str(tmp_path)) is None

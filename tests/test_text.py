@@ -56,3 +56,11 @@ def test_similarities(spark):
     assert [r.j for r in df.select(t.jaccard(F.col("b"), F.col("a")).alias("j")).collect()] == got
     lev = [r.x for r in spark.createDataFrame([("kitten", "sitting"), ("é", "e"), ("", ""), (None, "a"), ("", "ab")], "a string, b string").select(t.levenshtein_similarity(F.col("a"), F.col("b")).alias("x")).collect()]
     assert lev == pytest.approx([1 - 3 / 7, 0, 1, 0, 0])
+
+
+def test_maps_and_lines(spark):
+    df = spark.createDataFrame([({"a": "1"}, "a", "2"), (None, "b", "3"), ({"a": "1"}, None, "4")], "m map<string,string>, k string, v string")
+    assert [r.x for r in df.select(t.put_field(F.col("m"), F.col("k"), F.col("v")).alias("x")).collect()] == [{"a": "2"}, {"b": "3"}, {"a": "1"}]
+    assert [r.x for r in df.select(t.fields_or_empty(F.col("m")).alias("x")).collect()] == [{"a": "1"}, {}, {"a": "1"}]
+    r = spark.createDataFrame([("T", ["A", "B"], 2024, "OPENALEX"), (None, None, 0, None)], "t string, a array<string>, y int, s string")
+    assert [x.x for x in r.select(t.record_text(F.col("t"), F.col("a"), F.col("y"), t.display_name(F.col("s"))).alias("x")).collect()] == ["A, B (2024). T [OpenAlex]", "- (0). - [-]"]

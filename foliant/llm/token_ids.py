@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import long_id
 from .textkit import filled, list_array, pieces, ragged
 
 BLOCK = 128
@@ -150,5 +151,5 @@ def packed(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, id_col:
     """
     with open(ranks, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # the size of the vocabulary, whatever the data
-    d = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("text"))
+    d = docs.select(long_id(docs, id_col).alias("d"), F.col(text_col).alias("text"))
     return d.mapInArrow(_pack(content, pattern), "doc_id long, n_tokens long, words binary, block_offsets array<int>")

@@ -29,12 +29,30 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoder(ranks: bytes, pattern: str):
-    """The byte-pair encoder of a rank file's content."""
-    import tiktoken
+#: Characters from which on ``regex`` splits a text: the engine of ``tiktoken`` keeps a state for each character of a
+#: run of white space, and panics at a million.
+LONG = 500_000
 
-    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+class Encoder:
+    """The byte-pair encoder of a rank file's content, for texts of any length."""
+
+    def __init__(self, ranks: bytes, pattern: str) -> None:
+        import regex
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
+        self.pairs = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.split = regex.compile(pattern).finditer
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if len(text) < LONG:
+            return self.pairs.encode_ordinary(text)
+        return [x for piece in self.split(text) for x in self.pairs._encode_single_piece(piece[0])]
+
+
+def encoder(ranks: bytes, pattern: str) -> Encoder:
+    return Encoder(ranks, pattern)
 
 
 def encode(values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,13 +1,17 @@
+import base64
 import random
 
 import numpy as np
 import pytest
 import regex
+import tiktoken
 from hypothesis import given, settings, strategies as st
 
+import corpus_pipeline
 from foliant.llm import token_counts, token_ids as t
 
 RANKS = open(t.RANKS, "rb").read()
+PAIRS = tiktoken.Encoding("ranks", pat_str=t.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}, special_tokens={})
 TEXTS = ["", None, "Don't stop, it's 12345  end \n\n x", "naïve café — 漢字 😀!!", "a" * 3000, " " * 2000, "\t\n" * 50, "x'll 're y''s ' s", "word " * 40000, "\x1c\x85  z"]
 
 
@@ -66,3 +70,26 @@ def test_counts_are_the_encoders(spark, docs, most):
     want[None] = sum(len(enc.encode_ordinary(x)) for x in ("null id", "and more"))
     assert got == want
     assert token_counts.token_counts(rows.limit(0), most=most).collect() == []
+
+
+def test_long_texts_are_split_alike(docs, monkeypatch):
+    enc = t.encoder(RANKS, t.PATTERN)
+    want = [PAIRS.encode_ordinary(x or "") for _, x in docs]
+    monkeypatch.setattr(t, "LONG", 0)
+    assert [enc.encode_ordinary(x or "") for _, x in docs] == want
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000"])
+def test_long_runs_of_white_space(spark, blank):
+    n = 1_200_000
+    ends = [" end"] if blank == " " else [blank, "end"]
+    want = {
+        1: [*PAIRS.encode_ordinary("begin"), *PAIRS._encode_single_piece(blank * (n - 1)), *(x for e in ends for x in PAIRS.encode_ordinary(e))],
+        2: PAIRS._encode_single_piece(blank * n),
+        3: PAIRS.encode_ordinary("other"),
+    }
+    rows = spark.createDataFrame([(1, "begin" + blank * n + "end"), (2, blank * n), (3, "other")], "doc_id long, text string")
+    got = {r.doc_id: t.decode(np.frombuffer(r.words, "<u8"), np.array(r.block_offsets, np.int64), r.n_tokens).tolist() for r in corpus_pipeline.tokenize(spark, rows, "").collect()}
+    assert got == want
+    counts = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(rows).collect()}
+    assert counts == {1: (2 + len(ends), len(want[1])), 2: (1, len(want[2])), 3: (1, len(want[3]))}

@@ -54,6 +54,17 @@ def filled(col: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(col, "")
 
 
+def strings(col: pa.Array) -> list[str]:
+    """The texts, '' for null.  Bytes that aren't UTF-8 (surrogates, overlong forms, beyond U+10FFFF: columns may
+    hold them, and no other step decodes them) are read as U+FFFD."""
+    found = filled(col)
+    try:
+        return found.to_pylist()
+    except UnicodeDecodeError:
+        binary = pa.large_binary() if pa.types.is_large_string(found.type) else pa.binary()
+        return [x.decode("utf-8", "replace") for x in found.view(binary).to_pylist()]
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes of text each (one row at least)."""
     for b in batches:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .store import Stage, long_id, only_stage
-from .textkit import filled, pieces
+from .textkit import pieces, strings
 from .token_ids import PATTERN, RANKS, encoder
 
 #: Distinct pre-tokens that a task holds at most before it hands them on.
@@ -38,7 +38,7 @@ def _pre_tokens(pattern: str):
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
 
         for b in pieces(batches):
-            for t in filled(b.column("text")).to_pylist():
+            for t in strings(b.column("text")):
                 seen.update(split(t))
             if len(seen) > HELD:
                 yield out()
@@ -67,7 +67,7 @@ def _sum(known, pattern: str):
         split, table = regex.compile(pattern).findall, dict(zip(*known.value, strict=True))
         for b in pieces(batches):
             ids, found, f, k = [], [], [], []
-            for d, t in zip(b.column("d").to_pylist(), filled(b.column("text")).to_pylist(), strict=True):
+            for d, t in zip(b.column("d").to_pylist(), strings(b.column("text")), strict=True):
                 counts = Counter(split(t))
                 for p in set(counts).difference(table):
                     ids.append(d)
@@ -86,7 +86,8 @@ def _sum(known, pattern: str):
 def token_counts(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, most: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pretokens, n_tokens; a row per doc_id.
 
-    Rows that share a doc_id (null ones too) are counted together.  Null and empty texts have 0.
+    Rows that share a doc_id (null ones too) are counted together.  Null and empty texts have 0;
+    bytes that aren't UTF-8 are read as U+FFFD.
     Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .store import long_id
-from .textkit import filled, list_array, pieces, ragged
+from .textkit import list_array, pieces, ragged, strings
 
 BLOCK = 128
 #: By selector: values in a word, and bits of each.
@@ -151,7 +151,7 @@ def _pack(ranks, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for b in pieces(batches):
-            ids = [enc.encode_ordinary(t) for t in filled(b.column("text")).to_pylist()]
+            ids = [enc.encode_ordinary(t) for t in strings(b.column("text"))]
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
             words, seg, blocks, block_off = encode(np.fromiter(chain.from_iterable(ids), np.uint64, int(off[-1])), off)
             data = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(seg * 8), pa.py_buffer(words.astype("<u8"))])
@@ -163,8 +163,8 @@ def _pack(ranks, pattern: str):
 def packed(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, words (Simple-8b, little-endian), block_offsets (in words); a row per row.
 
-    Null and empty texts have no tokens, words or blocks; null doc_ids and repeated rows stay as
-    they are.  Other columns are ignored; empty tables give no rows.  ``ranks`` is a file that the
+    Null and empty texts have no tokens, words or blocks; bytes that aren't UTF-8 are read as U+FFFD; null
+    doc_ids and repeated rows stay as they are.  Other columns are ignored; empty tables give no rows.  ``ranks`` is a file that the
     driver can read.
     """
     with open(ranks, "rb") as f:

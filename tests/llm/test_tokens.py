@@ -93,3 +93,12 @@ def test_long_runs_of_white_space(spark, blank):
     assert got == want
     counts = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_counts.token_counts(rows).collect()}
     assert counts == {1: (2 + len(ends), len(want[1])), 2: (1, len(want[2])), 3: (1, len(want[3]))}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    odd = {1: b"a surrogate \xed\xa0\x80 here", 2: b"overlong \xc0\x80", 3: b"\xf7\xbf\xbf\xbf beyond", 4: "plain é".encode()}
+    rows = spark.createDataFrame([(k, bytearray(x)) for k, x in odd.items()], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text")
+    want = {k: PAIRS.encode_ordinary(x.decode("utf-8", "replace")) for k, x in odd.items()}
+    got = {r.doc_id: t.decode(np.frombuffer(r.words, "<u8"), np.array(r.block_offsets, np.int64), r.n_tokens).tolist() for r in corpus_pipeline.tokenize(spark, rows, "").collect()}
+    assert got == want
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(rows).collect()} == {k: len(x) for k, x in want.items()}

@@ -25,6 +25,17 @@ def keyed(records: DataFrame) -> DataFrame:
     })
 
 
+#: Characters from which on a key is shortened.
+SHORT = 64
+
+
+def shortened(k: DataFrame) -> DataFrame:
+    """Keyed records whose long title keys and identities are SHA-256 digests, for results that don't show them: only
+    which are equal, or empty, counts.  Keys hold no ``#``, so a digest equals no short key."""
+    short = lambda c: F.when(F.length(c) <= SHORT, F.col(c)).otherwise(F.concat(F.lit("#"), F.sha2(F.col(c), 256)))
+    return k.withColumns({c: short(c) for c in ("title_key", "ident")})
+
+
 def _identity(semantics: str) -> str:
     if semantics not in ("compat", "strict"):
         raise ValueError("semantics is compat or strict")

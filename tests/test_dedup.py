@@ -68,3 +68,27 @@ def test_anti_joins_are_equi_joins(spark):
     u = dedup.unify(frame(spark, ROWS).withColumn("pad", F.lit(1)))
     plan = u.unique._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_long_keys_are_shuffled_as_digests(spark):
+    long = "word " * 40
+    rows = [*ROWS, *((9 + i, str(i), x, None, None, d, "DBLP") for i, (x, d) in enumerate([(long + "a", None), (long + "A!", None), (long + "b", None), (long + "c", "10.3/c"), (long + "c.", None)]))]
+    k = dedup.keyed(frame(spark, rows))
+    short = dedup.shortened(k)
+    assert max(len(r[c]) for r in short.collect() for c in ("title_key", "ident")) <= 65
+    for semantics in ("compat", "strict"):
+        got = []
+        for x in (k, short):
+            m = dedup.members(x, semantics)
+            u = dedup.unique(x, m, semantics)
+            got.append((sorted((r.kind, r.n, r.label, r.ord) for r in m.collect()), sorted(r.ord for r in u.collect()), dedup.stats(x, m, u).first()))
+        assert got[0] == got[1]
+    assert ("title", 9) in {(r.kind, r.ord) for r in dedup.members(short).collect()}
+
+
+def test_queries_without_keys_keep_digests(spark, tmp_path):
+    from foliant.plans.queries import _unified
+
+    spark.createDataFrame([(1, "long title " * 500, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(_unified(spark, str(tmp_path), keys=False).keyed.first().ident) == 65
+    spark.catalog.clearCache()
